@@ -33,6 +33,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+    from .tokens import public_path
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return packed(docs, public_path("word_bpe_49k.json"), end_id=1).drop("ids")
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -48,5 +56,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op9_quality_rules": op9_quality_rules}
+QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
