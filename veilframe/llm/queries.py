@@ -41,6 +41,12 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(docs, public_path("word_bpe_49k.json"), end_id=1).drop("ids")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import linked
+
+    return linked(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -56,5 +62,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules}
+QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
