@@ -25,6 +25,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, judged
 
@@ -62,5 +69,5 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
-QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op4_license_scan": op4_license_scan, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL}
