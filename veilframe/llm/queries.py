@@ -25,6 +25,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import deduped
+
+    found = deduped(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -96,5 +103,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL}
