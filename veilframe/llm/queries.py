@@ -39,6 +39,15 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, scored
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit(docs, _read(spark, sf_dir, "labels"), train=~held_out)
+    return scored(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, judged
 
@@ -103,5 +112,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op7_best_fit_packing": op7_best_fit_packing, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op7_best_fit_packing": op7_best_fit_packing, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL}
