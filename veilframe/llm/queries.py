@@ -71,6 +71,16 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .idfile import read_ids, write_ids
+    from .scratch import Scratch
+    from .tokens import public_path
+
+    path = f"{Scratch(spark, 'ids').folder}/files"
+    write_ids(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, public_path("byte_bpe_50k.json"), end_id=2)
+    return read_ids(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import packed
     from .tokens import public_path
@@ -112,5 +122,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op7_best_fit_packing": op7_best_fit_packing, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op6_id_files": op6_id_files, "op7_best_fit_packing": op7_best_fit_packing, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL}
