@@ -32,6 +32,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passages import repeated
+
+    found = repeated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["last"] - s["first"] + 1)
+    return found.select("doc_id", words("later").alias("n_removable"), words("earlier").alias("n_repeated_later"), "later", "earlier")
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan
 
@@ -122,5 +130,5 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
-QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op6_id_files": op6_id_files, "op7_best_fit_packing": op7_best_fit_packing, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
+QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_passages": op3_passages, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op6_id_files": op6_id_files, "op7_best_fit_packing": op7_best_fit_packing, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL}
