@@ -10,14 +10,10 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)\D", "")
 
 
-def _digit(text: Column, at: Column | int) -> Column:
-    return F.substring(text, at, F.lit(1)).cast("int")
-
-
 def _weighted(d: Column, weights: tuple[int, ...]) -> Column:
     total = F.lit(0)
     for i, w in enumerate(weights, 1):
-        total = total + F.substring(d, i, 1).cast("int") * w
+        total = total + F.coalesce(F.substring(d, i, 1).try_cast("int"), F.lit(0)) * w
     return total
 
 
@@ -26,14 +22,14 @@ def snils(value: Column) -> Column:
     total = _weighted(d, (9, 8, 7, 6, 5, 4, 3, 2, 1))
     rest = F.when(total < 100, total).when(total <= 101, 0).otherwise(F.when(total % 101 == 100, 0).otherwise(total % 101))
     one_digit = F.length(F.replace(F.left(d, F.lit(9)), F.left(d, F.lit(1)), F.lit(""))) == 0
-    return (F.length(d) == 11) & ~one_digit & (rest == F.right(d, F.lit(2)).cast("int"))
+    return F.coalesce((F.length(d) == 11) & ~one_digit & (rest == F.right(d, F.lit(2)).try_cast("int")), F.lit(False))
 
 
 def inn(value: Column) -> Column:
     d = digits(value)
-    ten = _weighted(d, (2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == F.substring(d, 10, 1).cast("int")
-    first = _weighted(d, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == F.substring(d, 11, 1).cast("int")
-    second = _weighted(d, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == F.substring(d, 12, 1).cast("int")
+    ten = _weighted(d, (2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == F.substring(d, 10, 1).try_cast("int")
+    first = _weighted(d, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == F.substring(d, 11, 1).try_cast("int")
+    second = _weighted(d, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)) % 11 % 10 == F.substring(d, 12, 1).try_cast("int")
     return F.when(F.length(d) == 10, ten).when(F.length(d) == 12, first & second).otherwise(F.lit(False))
 
 
@@ -44,8 +40,8 @@ def luhn(value: Column) -> Column:
 
 def ogrn(value: Column) -> Column:
     d = digits(value)
-    head = lambda n: F.left(d, F.lit(n)).cast("bigint")
-    last = F.right(d, F.lit(1)).cast("int")
+    head = lambda n: F.left(d, F.lit(n)).try_cast("bigint")
+    last = F.right(d, F.lit(1)).try_cast("int")
     return F.when(F.length(d) == 13, head(12) % 11 % 10 == last).when(F.length(d) == 15, head(14) % 13 % 10 == last).otherwise(F.lit(False))
 
 
@@ -54,7 +50,7 @@ def iban(value: Column) -> Column:
     shape = F.length(compact).between(15, 34) & compact.rlike(r"^[A-Z]{2}\d{2}[A-Z0-9]+$")
     turned = F.concat(F.substr(compact, F.lit(5)), F.left(compact, F.lit(4)))
     # Letters count as two digits (A = 10), so the remainder shifts by 100 for them and by 10 for digits.
-    step = lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
+    step = lambda r, c: F.when(c.rlike("[0-9]"), (r * 10 + c.try_cast("int")) % 97).otherwise((r * 100 + F.ascii(c) - 55) % 97)
     rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), lambda r, c: F.coalesce(step(r, c), F.lit(0)))
     return shape & (rest == 1)
 

@@ -48,7 +48,11 @@ def _located(text: Column, pattern: str) -> Column:
 def explicit(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, start, end, original, kind, key, priority, reason of what a sign beside it tells."""
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = [F.transform(_located(body, p), lambda m, k=kind, q=priority, n=name: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("original"), F.lit(k).alias("kind"), F.lit(q).alias("priority"), F.lit(n).alias("reason"))) for name, kind, priority, p in SIGNS]
+    def told(name: str, kind: str, priority: int, pattern: str) -> Column:
+        row = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("original"), F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.lit(name).alias("reason"))
+        return F.transform(_located(body, pattern), row)
+
+    rows = [told(*sign) for sign in SIGNS]
     out = units.select(*keys, F.explode(F.concat(*rows)).alias("e")).select(*keys, "e.*")
     return out.withColumn("key", entity_key(F.col("original"))).where("length(key) > 1")
 

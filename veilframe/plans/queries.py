@@ -38,7 +38,7 @@ FROM (SELECT {key}, pieces, vals, unnest(range(1, len(vals) + 1)) AS i FROM (SEL
 MAIL = r"[A-Za-z0-9._%+-]+[;:,]?@[A-Za-z0-9.-]+\.[A-Za-z]{2,24}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS4 = rf"(?:{_OCTET}\.){{3}}{_OCTET}"
-CARD = r"(?:[0-9]{4}[ -]?){3}[0-9]{4}(?:[ -]?[0-9]{3})?"
+CARD = r"(?:[0-9]{4}[ -]?){3}[0-9]{4}"
 
 
 def _rule(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -229,7 +229,7 @@ _TOKENS = ("Name1", "Name1_2", "Name1\\_2", "nаme7", "NAME10", "Name1_2024", "e
 def parsed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(t,) for t in _TOKENS], "raw string")
     read = parse_token(F.col("raw"))
-    return rows.select("raw", read["kind"].alias("kind"), read["number"].alias("number"), read["variant"].alias("variant"), base_of(F.col("raw")).alias("base"))
+    return rows.where(read.isNotNull()).select("raw", read["kind"].alias("kind"), read["number"].alias("number"), read["variant"].alias("variant"), base_of(F.col("raw")).alias("base"))
 
 
 PARSE_SQL = r"""
@@ -237,9 +237,9 @@ WITH v AS (SELECT unnest(['Name1', 'Name1_2', 'Name1\_2', 'nаme7', 'NAME10', 'N
 n AS (SELECT raw, replace(translate(lower(raw), 'аеосрхукмтнв', 'aeocpxykmthb'), '\_', '_') AS x FROM v),
 p AS (SELECT raw, regexp_extract(x, '^([a-z]+)([0-9]{1,7})(?:_([0-9]{1,6}))?(@example\.com)?$', ['stem', 'number', 'variant', 'mail']) AS m FROM n),
 k AS (SELECT * FROM (VALUES ('name', 'Name', 'PERSON'), ('company', 'Company', 'ORG'), ('ip', 'Ip', 'IP_ADDRESS'), ('data', 'Data', 'PII'), ('email', 'Email', 'EMAIL')) AS t(s, stem, kind))
-SELECT raw, kind, CASE WHEN kind IS NOT NULL THEN CAST(m.number AS BIGINT) END AS number, CASE WHEN kind IS NOT NULL THEN CAST(coalesce(nullif(m.variant, ''), '1') AS INTEGER) END AS variant,
-  CASE WHEN kind = 'EMAIL' THEN 'email' || m.number || '@example.com' WHEN kind IS NOT NULL THEN stem || m.number END AS base
-FROM p LEFT JOIN k ON k.s = m.stem AND (kind = 'EMAIL') = (m.mail != '')
+SELECT raw, kind, CAST(m.number AS BIGINT) AS number, CAST(coalesce(nullif(m.variant, ''), '1') AS INTEGER) AS variant,
+  CASE WHEN kind = 'EMAIL' THEN 'email' || m.number || '@example.com' ELSE stem || m.number END AS base
+FROM p JOIN k ON k.s = m.stem AND (kind = 'EMAIL') = (m.mail != '')
 """
 
 
