@@ -1,7 +1,7 @@
 """Quality rules: text statistics, and decision lists learned from labelled rows by sequential covering.
 
-fit() grows one conjunction of thresholds at a time on two thirds of the labelled rows (the largest
-information gain first), prunes it on the last third (the conditions whose loss raises precision
+fit() grows one conjunction of thresholds at a time on about two thirds of the labelled rows (by a
+hash; the largest information gain first), prunes it on the others (the conditions whose loss raises precision
 go), keeps it while it is precise there, removes the rows it covers, and starts again. The list is
 emitted as one Spark CASE expression, first match first, so applying it needs no Python.
 
@@ -236,10 +236,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = known.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(known), "__id")
     rows = with_statistics(rows, "__text").where(~base_failed())
-    frame = rows.select("__id", "__y", *(ratio(k).alias(k) for k in RATIOS)).toPandas().sort_values(["__id", "__y"], kind="stable")
+    held = F.pmod(F.xxhash64("__id", F.lit("hold")), F.lit(3)) == 2
+    frame = rows.select("__id", "__y", held.alias("__held"), *(ratio(k).alias(k) for k in RATIOS)).toPandas().sort_values(["__id", "__y"], kind="stable")
     x = {k: frame[k].to_numpy(float) for k in RATIOS}
-    hold = np.arange(len(frame)) % 3 == 2
-    return cover(x, frame["__y"].to_numpy() == 0, hold, **options)
+    return cover(x, frame["__y"].to_numpy() == 0, frame["__held"].to_numpy(bool), **options)
 
 
 def judged(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
