@@ -77,21 +77,35 @@ def form_index(people: DataFrame) -> DataFrame:
 def find(units: DataFrame, people: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """keys, start, end, original, decision, confidence, reason, candidates: every mention of the people.
 
-    A mention is a run of name words and initials; the people of its surname forms are narrowed by
-    its given name, patronymic and initials. Those left are the candidates.
+    A mention is one to three neighbouring words and initials; the people of the forms of its words
+    are narrowed by its initials. Of mentions within one another the longest stays.
     """
-    word = rf"{_CAP}|{_INITIALS}"
-    runs = _mentions(units, keys, text, rf"(?U)(?<![\w-])(?:{word})(?: ?(?:{word})){{0,2}}(?![\w-])", "run")
-    parts = runs.withColumn("words", F.regexp_extract_all("value", F.lit(rf"(?U)({_CAP})(?!\.)"), F.lit(1))).withColumn("letters", F.regexp_extract_all("value", F.lit(r"([А-ЯЁ])\."), F.lit(1)))
-    each = parts.where(F.size("words") > 0).select(*keys, "start", "end", "value", "letters", F.size("words").alias("n"), F.explode("words").alias("w")).withColumn("form", fold(F.col("w")))
-    hits = each.join(form_index(people), "form").groupBy(*keys, "start", "end", "value", "letters", "n", "person_id")
+    tokens = matches(F.coalesce(F.col(text), F.lit("")), rf"(?U)(?<![\w-])(?:{_CAP}(?![\w-])|[А-ЯЁ]\.)")
+    rows = units.select(*keys, tokens.alias("ws")).where(F.size("ws") > 0)
+    window = lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.slice("ws", i + 1, k))
+    runs = rows.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("ws") - 1), window)))).alias("r"))
+    length = F.aggregate("r", F.lit(0), lambda n, w: n + w["end"] - w["start"])
+    start, end = F.col("r")[0]["start"], F.element_at("r", -1)["end"]
+    runs = runs.where(end - start <= length + F.size("r") - 1)
+    words = F.filter("r", lambda w: ~F.endswith(w["value"], F.lit(".")))
+    letters = F.transform(F.filter("r", lambda w: F.endswith(w["value"], F.lit("."))), lambda w: F.left(w["value"], F.lit(1)))
+    parts = runs.select(*keys, start.alias("start"), end.alias("end"), words.alias("words"), letters.alias("letters"))
+    each = parts.where(F.size("words") > 0).select(*keys, "start", "end", "letters", F.size("words").alias("n"), F.explode("words").alias("w")).withColumn("form", fold(F.col("w.value")))
+    hits = each.join(form_index(people), "form").groupBy(*keys, "start", "end", "letters", "n", "person_id")
     hits = hits.agg(F.count_distinct("form").alias("k"), F.max((F.col("slot") == "surname").cast("int")).alias("surname"), F.max((F.col("slot") == "patronymic").cast("int")).alias("patronymic"), F.max((F.col("slot") == "given").cast("int")).alias("given"))
     hits = hits.join(people.select("person_id", "initials"), "person_id")
     fits = (F.size("letters") == 0) | ((F.col("letters")[0] == F.col("initials")[0]) & ((F.size("letters") < 2) | (F.size("initials") < 2) | (F.try_element_at("letters", F.lit(2)) == F.try_element_at("initials", F.lit(2)))))
     sure = (F.col("k") == F.col("n")) & fits & ((F.col("surname") == 1) | ((F.col("given") == 1) & (F.col("patronymic") == 1)))
-    found = hits.where(sure).groupBy(*keys, "start", "end", "value").agg(F.array_sort(F.collect_set("person_id")).alias("candidates"))
+    found = hits.where(sure).groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_set("person_id")).alias("candidates"))
+    wider = found.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("start").alias("__s"), F.col("end").alias("__e"))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    inside = (F.col("__s") <= F.col("start")) & (F.col("__e") >= F.col("end")) & (F.col("__e") - F.col("__s") > F.col("end") - F.col("start"))
+    for c in same:
+        inside = inside & c
+    found = found.join(wider, inside, "left_anti").join(units.select(*keys, F.col(text).alias("__t")), keys)
     many = F.size("candidates") > 1
-    return found.select(*keys, "start", "end", F.col("value").alias("original"), F.lit("PERSON").alias("category"), F.when(many, "REVIEW").otherwise("AUTO").alias("decision"), F.when(many, 0.55).otherwise(0.97).alias("confidence"), F.when(many, "fits several people").otherwise("a person named elsewhere").alias("reason"), "candidates")
+    original = F.substr("__t", F.col("start") + 1, F.col("end") - F.col("start"))
+    return found.select(*keys, "start", "end", original.alias("original"), F.lit("PERSON").alias("category"), F.when(many, "REVIEW").otherwise("AUTO").alias("decision"), F.when(many, 0.55).otherwise(0.97).alias("confidence"), F.when(many, "fits several people").otherwise("a person named elsewhere").alias("reason"), "candidates")
 
 
 def unknown(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:

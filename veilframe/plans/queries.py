@@ -10,10 +10,12 @@ from ..functions import checks
 from ..functions.patterns import RULES, rules_of
 from ..functions.text import finding_id, fold, identity_key
 from ..functions.tokens import base_of, format_token, group_of, kind_of, normal_stem, parse_token
-from ..operators import numbers, restore as back, vault as vaults, verify
-from ..operators.resolve import resolved, suggestions
+from ..operators import columns, entities, numbers, people, restore as back, vault as vaults, verify
+from ..operators.numbering import numbered
+from ..operators.resolve import override, resolved, suggestions
 from ..operators.rules import detect, exploded, rule_findings
 from ..operators.splice import splice
+from ..sources import files
 from .engine import Settings, findings_of, pseudonymize, restored
 
 EMAIL_ONLY = Settings(rules=rules_of("EMAIL"))
@@ -382,11 +384,109 @@ SELECT c_custkey, category, CASE category WHEN 'EMAIL' THEN 'email' || c_custkey
   CASE category WHEN 'PERSON' THEN 'names' WHEN 'EMAIL' THEN 'contacts' WHEN 'POSSIBLE_ENTITY' THEN 'custom' ELSE 'documents' END AS "group" FROM c
 """
 
+_FILES = ("a.txt", "B.XLSX", "c.docm", "d.xls", "e.pdf", "f.jpeg", "g", "h.odt", "archive.tar.gz", ".hidden", "x.y.csv")
+
+
+def format_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(n,) for n in _FILES], "name string")
+    kind = files.classify(F.col("name"))
+    return rows.select("name", kind.alias("format"), F.coalesce(files.unsupported_reason(kind), F.lit("")).alias("reason")).withColumn("taken", F.col("reason") == "").drop("reason").where("format != 'PDF'")
+
+
+CLASSIFY_SQL = f"""
+WITH n AS (SELECT unnest({list(_FILES)}) AS name), e AS (SELECT name, CASE WHEN regexp_matches(name, '^[^.].*\\.[^.]+$') THEN lower(regexp_extract(name, '\\.([^.]+)$', 1)) ELSE '' END AS x FROM n),
+k AS (SELECT name, CASE WHEN x IN ('txt', 'csv', 'tsv', 'md', 'json', 'xml', 'log', 'htm', 'html', 'ini', 'yaml', 'yml') THEN 'TEXT' WHEN x IN ('xlsx', 'docx', 'pptx') THEN 'OOXML' WHEN x IN ('odt', 'ods', 'odp') THEN 'ODF'
+  WHEN x IN ('xlsm', 'docm', 'pptm') THEN 'MACRO_OFFICE' WHEN x IN ('xls', 'doc', 'ppt') THEN 'OLD_OFFICE' WHEN x = 'pdf' THEN 'PDF' WHEN x IN ('png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'gif', 'webp', 'heic') THEN 'IMAGE' ELSE 'UNSUPPORTED' END AS format FROM e)
+SELECT name, format, format IN ('TEXT', 'OOXML') AS taken FROM k WHERE format != 'PDF'
+"""
+
+
+def override_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions about part types, by folded text."""
+    rows = _read(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ")[0].alias("original"), F.lit("POSSIBLE_PERSON").alias("category"), F.lit("REVIEW").alias("decision"), F.lit(0.5).alias("confidence"), F.lit("shape").alias("reason"))
+    words = rows.select(fold(F.col("original")).alias("folded")).distinct()
+    choices = words.select("folded", F.when(F.length("folded") % 2 == 0, "hide").otherwise("keep").alias("choice")).where("folded != 'promo'")
+    return override(rows, choices).select("p_partkey", "category", "decision", "confidence", "reason")
+
+
+OVERRIDE_SQL = """
+WITH r AS (SELECT p_partkey, lower(string_split(p_type, ' ')[1]) AS f FROM part), c AS (SELECT p_partkey, CASE WHEN f = 'promo' THEN '' WHEN length(f) % 2 = 0 THEN 'hide' ELSE 'keep' END AS c FROM r)
+SELECT p_partkey, CASE WHEN c = 'hide' THEN 'PERSON' ELSE 'POSSIBLE_PERSON' END AS category, CASE WHEN c = 'hide' THEN 'AUTO' ELSE 'REVIEW' END AS decision, CASE WHEN c = 'hide' THEN 1.0 ELSE 0.5 END AS confidence,
+  CASE c WHEN 'keep' THEN 'kept by the user' WHEN 'hide' THEN 'hidden by the user' ELSE 'shape' END AS reason FROM c
+"""
+
+
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each source of documents, as for files."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id", "text")
+    found = exploded(detect(docs, literals=False, rules=rules_of("EMAIL", "IP_ADDRESS")), "candidates", ["file", "doc_id"])
+    report = verify.file_report(found, docs.select("file", F.lit("TEXT").alias("format")).distinct())
+    return report.select("file", "status", F.coalesce(F.try_element_at("counts", F.lit("EMAIL")), F.lit(0)).alias("emails"), F.coalesce(F.try_element_at("counts", F.lit("IP_ADDRESS")), F.lit(0)).alias("addresses"), "total")
+
+
+REPORT_SQL = f"""
+WITH m AS (SELECT doc_id, 'EMAIL' AS c FROM ({_positions(MAIL)}) UNION ALL SELECT doc_id, 'IP' FROM ({_positions(ADDRESS4)})),
+g AS (SELECT source AS file, CAST(count(*) FILTER (WHERE c = 'EMAIL') AS INTEGER) AS emails, CAST(count(*) FILTER (WHERE c = 'IP') AS INTEGER) AS addresses, CAST(count(c) AS INTEGER) AS total FROM documents LEFT JOIN m USING (doc_id) GROUP BY 1)
+SELECT file, CASE WHEN total = 0 THEN 'CLEAN' ELSE 'REPLACED' END AS status, emails, addresses, total FROM g
+"""
+
+
+def global_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense numbers of customers within their segment, by balance and key."""
+    rows = _read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", F.struct("c_acctbal", "c_custkey").alias("o"))
+    return numbered(rows, "c_mktsegment", "o", "n").select("c_custkey", "n")
+
+
+NUMBER_SQL = "SELECT c_custkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS n FROM customer"
+
+
+def vault_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as vault entities, purged by when they were used."""
+    none = vaults.Vault.empty(spark)
+    rows = _read(spark, sf_dir, "customer").select(F.concat(F.lit("Name"), "c_custkey").alias("base"), (F.col("c_custkey") % 40 * 86400.0).alias("used"))
+    return vaults.purge(vaults.Vault(rows, none.spellings, none.counters), F.lit(40 * 86400.0), 7).entities.select("base")
+
+
+PURGE_SQL = "SELECT 'Name' || c_custkey AS base FROM customer WHERE c_custkey % 40 >= 33"
+
+_CELLS = [("f", "s", c, r, t) for c, col in enumerate((("Сотрудник", "Иванов Пётр", "Анна; Борис", "итого 5"), ("Город", "Тверь", "Казань", "1"), ("Регион", "Тверь", "Тверь", ""), ("Сумма", "Иванов", "2", "3"))) for r, t in enumerate(col, 1)]
+
+
+def header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the headers of a small sheet make people and places."""
+    cells = spark.createDataFrame(_CELLS, "file string, sheet string, col int, row int, text string")
+    return columns.person_columns(cells).select(F.lit("PERSON").alias("kind"), "col", "item").unionByName(columns.place_columns(cells).select(F.lit("PLACE").alias("kind"), "col", "item"))
+
+
+_PROSE = [(1, "Утвердил Иванов Пётр Сергеевич, ООО «Ромашка Плюс», г. Тверь."), (2, "Передать Иванову П.С. в Ромашка Плюс, mayak.ru и a@mayak.ru"), (3, "Сидоров А.Б. и П. С. Иванов, Технологии Контроля (ТеКо)"), (4, "Иванав пришёл к госпоже Петровой")]
+
+
+def people_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = spark.createDataFrame(_PROSE, "unit int, text string")
+    known = people.learn(units, ["unit"])
+    return people.find(units, known, ["unit"]).select("unit", "start", "end", "original", "decision")
+
+
+def entities_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = spark.createDataFrame(_PROSE, "unit int, text string")
+    return entities.known(units, entities.register(entities.explicit(units, ["unit"])), ["unit"])
+
+
+def mail_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root domains of the e-mail addresses of customers with made-up hosts, public ones left out."""
+    host = F.element_at(F.array(*map(F.lit, ("firma.ru", "sub.mayak.com", "gmail.com", "example.com"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    units = _read(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("to c"), "c_custkey", F.lit("@"), host, F.lit(" now")).alias("text"))
+    return entities.mail_domains(units, ["c_custkey"]).select("c_custkey", "domain")
+
+
+HOST_SQL = "SELECT c_custkey, ['firma.ru', 'mayak.com'][c_custkey % 4 + 1] AS domain FROM customer WHERE c_custkey % 4 < 2"
+
 QUERIES = {
     "findings": findings, "all_rules": all_rules, "rule_email": _rule("email_1"), "rule_ip": _rule("ip_address_1"), "card_luhn": _rule("card_1"), "check_digits": check_digits, "iban_check": iban_check,
     "identity_key": identity_keys, "finding_id": finding_ids, "fold": folded, "token_number": token_numbers, "token_format": token_format, "token_parse": parsed_tokens, "homoglyph_stem": homoglyph_stems,
     "splice_text": spliced_texts, "restore_roundtrip": round_trip, "restore_lookup": restore_lookup, "resolve_greedy": resolve_greedy, "container_split": container_split, "kind_counts": kind_counts,
     "word_multiset_diff": word_difference, "residual_check": residual_check, "suggest_topk": suggest_topk, "surrogate_filter": surrogate_filter, "surrogate_roundtrip": surrogate_round_trip, "vault_merge_conflicts": vault_merge,
+    "format_classify": format_classify, "override_join": override_join, "file_report": file_report, "numbering": global_numbers, "vault_purge": vault_purge, "header_columns": header_columns, "people": people_found, "entities": entities_found, "mail_domains": mail_hosts,
 }
 for _n in [r.name for r in RULES if r.name not in ("email_1", "ip_address_1", "card_1")]:
     QUERIES[f"rule_{_n}"] = _rule(_n)
@@ -398,4 +498,5 @@ ORACLES = {
     "check_digits": CHECK_SQL, "iban_check": IBAN_SQL, "identity_key": KEY_SQL, "finding_id": ID_SQL, "fold": FOLD_SQL, "token_number": TOKEN_SQL, "token_format": FORMAT_SQL, "token_parse": PARSE_SQL, "homoglyph_stem": STEM_SQL,
     "splice_text": SPLICE_SQL, "restore_roundtrip": TRIP_SQL, "restore_lookup": LOOKUP_SQL, "resolve_greedy": RESOLVE_SQL, "container_split": SPLIT_SQL, "kind_counts": KIND_SQL, "word_multiset_diff": DIFF_SQL,
     "residual_check": RESIDUAL_SQL, "suggest_topk": TOPK_SQL, "surrogate_filter": FILTER_SQL, "surrogate_roundtrip": BACK_SQL, "vault_merge_conflicts": MERGE_SQL,
+    "format_classify": CLASSIFY_SQL, "override_join": OVERRIDE_SQL, "file_report": REPORT_SQL, "numbering": NUMBER_SQL, "vault_purge": PURGE_SQL, "mail_domains": HOST_SQL,
 }
