@@ -130,5 +130,16 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(3, len(w)) - 1], ' ') AS g FROM (SELECT *, unnest(range(1, greatest(1, len(w) - 2) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(g) AS n FROM d LEFT JOIN g USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id != b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 90 * (a.n + b.n - k)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, coalesce(m.n_links, 0) AS n_links
+FROM n JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = n.doc_id LEFT JOIN (SELECT x, count(*) AS n_links FROM l GROUP BY x) m ON m.x = n.doc_id
+"""
+
 QUERIES: dict[str, Query] = {"op1_decontaminate": op1_decontaminate, "op2_line_dedup": op2_line_dedup, "op3_passages": op3_passages, "op4_license_scan": op4_license_scan, "op5_chat_format": op5_chat_format, "op6_id_files": op6_id_files, "op7_best_fit_packing": op7_best_fit_packing, "op8_toxicity": op8_toxicity, "op9_quality_rules": op9_quality_rules, "op10_ngram_jaccard": op10_ngram_jaccard}
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op5_chat_format": OP5_SQL, "op10_ngram_jaccard": OP10_SQL}
