@@ -3,10 +3,14 @@
 1. Each text becomes its set of shingles (64-bit hashes) once. Equal sets form a class, and only
    the first document of a class goes on.
 2. A pair that meets the threshold differs in at most H shingles, so if the shingles are dealt by
-   a hash into H + 2 parts, the two sets agree in two parts entirely, and in one that is not empty
-   unless both sets have two empty parts. Parts that two classes share tie them together; the
-   ties' connected components are the blocks to search in. H follows from the size band, so a
-   pair can never be in different blocks.
+   a hash into H + E + 1 parts, the two sets agree in E + 1 parts entirely, and in one that is not
+   empty unless both sets have more than E empty parts. Parts that two classes share tie them
+   together; the ties' connected components are the blocks to search in. H follows from the size
+   band, so a pair can never be in different blocks. Shingles that very many documents hold are
+   left out of the parts (what differs there only lessens what differs elsewhere). A set that has
+   more than E empty parts without them shows the shingles of its prefix besides, the frequent
+   ones last in order: of two such sets that meet the threshold, the prefixes share a shingle.
+   Which shingles count as frequent changes the blocks, never the result.
 3. Within a block, inverted lists map shingles to classes. A search with the shingles of one class
    must find the classes that occur at least T times (DivideSkip): the longest lists are set
    aside, the others are merged, and what occurs often enough there is looked up in the long
@@ -29,7 +33,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import components
 from .scratch import Scratch, small_batches
@@ -37,6 +41,8 @@ from .words import SPACED, Words, mix, rolled, short_rows, steps
 
 #: Classes of a block that one task searches against as many.
 SLICE = 512
+#: Rows of about 100 bytes that may be broadcast.
+MOST_BROADCAST = 500_000
 
 
 class Sets:
@@ -65,53 +71,110 @@ class Sets:
 
 
 class Bands:
-    """Size bands: a pair that meets the threshold lies in one band or in two that are neighbours."""
+    """Size bands. The scheme of a band serves the pairs whose smaller set lies in it."""
+
+    #: The largest size of a band over its smallest: wide bands make larger H, narrow ones more sets with two schemes.
+    WIDTH = Fraction(5, 4)
 
     def __init__(self, threshold: Fraction):
         self.t = threshold
         self.top = [0]  # band k holds sizes in (top[k-1], top[k]]
 
-    def _upto(self, n: int) -> None:
-        while self.top[-1] < n:
-            # the largest size that may pair with top + 1 ends the band
-            self.top.append(max(self.top[-1] + 1, math.floor((self.top[-1] + 1) / self.t)))
-
     def of(self, n: int) -> int:
-        self._upto(n)
+        while self.top[-1] < n:
+            self.top.append(math.floor(self.WIDTH * (self.top[-1] + 1)))
         return int(np.searchsorted(self.top, n))
 
-    def parts(self, band: int) -> int:
-        """H + 2 for pairs of sizes in this band and the one below; 0 if only equal sets can meet the threshold."""
-        while len(self.top) <= band:
-            self._upto(self.top[-1] + 1)
-        h = math.floor(2 * self.top[band] * (1 - self.t) / (1 + self.t))
-        return h + 2 if h else 0
+    def parts(self, band: int) -> tuple[int, int]:
+        """(H + E + 1, E) for the pairs of a band; (0, 0) if only equal sets can meet the threshold."""
+        top = self.top[band]
+        h = math.floor((top + math.floor(top / self.t)) * (1 - self.t) / (1 + self.t))
+        return (h + h // 4 + 2, h // 4 + 1) if h else (0, 0)
 
-    def keys(self, codes: np.ndarray) -> np.ndarray:
-        """The keys of the parts of a set, for its own band and the next."""
+    def keys(self, codes: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+        """The keys of the parts of a set, for its own band and, where it may be the larger set of a pair there, the one below."""
         out = [np.zeros(0, np.uint64)]
-        own = self.of(len(codes))
-        dealt, content = mix(codes), mix(codes ^ np.uint64(0xA5A5A5A5))
-        for band in (own, own + 1):
-            n = self.parts(band)
+        own, crowded = self.of(len(codes)), False
+        at = np.searchsorted(frequent, codes)
+        at[at == len(frequent)] = 0
+        rare = codes[frequent[at] != codes] if len(frequent) else codes
+        for band in (own, own - 1):
+            if band != own and len(codes) * self.t > self.top[band]:
+                continue
+            n, spare = self.parts(band)
             if not n:
                 continue
-            part = (dealt % np.uint64(n)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            full, at = np.unique(part[order], return_index=True)
-            total = np.zeros(n, np.uint64)
-            total[full] = np.add.reduceat(content[order], at)
-            key = mix(total + mix(np.arange(n).astype(np.uint64) + np.uint64(band << 32)))
-            out.append(key[full] if len(full) >= n - 1 else key)
+            full, key = _parts(rare, n, band << 32)
+            out.append(key)
+            crowded |= n - len(full) > spare
+        if crowded:
+            rest = np.setdiff1d(codes, rare, assume_unique=True)
+            order = np.concatenate([rare[np.argsort(mix(rare))], rest[np.argsort(mix(rest))]])
+            out.append(mix(order[: len(codes) - math.ceil(self.t * len(codes)) + 1] ^ np.uint64(0x5DEECE66D)))
         return np.concatenate(out)
 
 
-def sketches(docs: DataFrame, threshold: Fraction, size: int) -> DataFrame:
-    """doc_id, n_shingles, class (a digest of the set, null if empty) and the keys of its parts."""
+def _parts(codes: np.ndarray, n: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the parts that are not empty, their keys) of codes dealt into n parts."""
+    part = (mix(codes ^ np.uint64(salt)) % np.uint64(n)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    full, at = np.unique(part[order], return_index=True)
+    if not len(full):
+        return full, np.zeros(0, np.uint64)
+    total = np.add.reduceat(mix(codes ^ np.uint64(0xA5A5A5A5))[order], at)
+    return full, mix(total + mix(full.astype(np.uint64) + np.uint64(salt)))
+
+
+#: Shingles that count as frequent: the commonest, at most MOST_FREQUENT, and only from FREQUENT documents on.
+FREQUENT, MOST_FREQUENT = 16, 200_000
+#: A task counts so many of its shingles at a time, and reports those that stand there so often.
+_COUNTED, _REPORTED = 2 << 20, 3
+
+
+def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
+    """The hashes of shingles that very many documents hold, ascending. Every document is counted."""
     small_batches(docs.sparkSession)
 
+    def run(batches):
+        held, n = np.empty(_COUNTED, np.uint64), 0
+
+        def report(n):
+            run = held[:n]
+            run.sort()
+            at = np.flatnonzero(np.diff(run, prepend=~run[:1]))
+            count = np.diff(np.append(at, n))
+            at, count = at[count >= _REPORTED], count[count >= _REPORTED]
+            return pa.RecordBatch.from_arrays([pa.array(run[at].view(np.int64)), pa.array(count)], ["code", "n"])
+
+        for batch in batches:
+            codes = Sets(batch.column(1), size).codes
+            while len(codes):
+                part, codes = codes[: _COUNTED - n], codes[_COUNTED - n :]
+                held[n : n + len(part)] = part
+                n += len(part)
+                if n == _COUNTED:
+                    yield report(n)
+                    n = 0
+        if n:
+            yield report(n)
+
+    tally = docs.select("doc_id", "text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    top = tally.where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "code").limit(MOST_FREQUENT).collect()
+    return np.sort(np.array([r["code"] for r in top], np.int64).view(np.uint64))
+
+
+#: Classes that a task remembers, to write the keys of each once.
+_SEEN = 500_000
+
+
+def sketches(docs: DataFrame, threshold: Fraction, size: int, frequent: np.ndarray) -> DataFrame:
+    """doc_id, n_shingles, class (a digest of the set, null if empty) and the keys of its parts (null where the task met the class before)."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
     def run(batches):
         bands = Bands(threshold)
+        seen: set[bytes] = set()
         for batch in batches:
             sets = Sets(batch.column(1), size)
             digests, keys = [], []
@@ -122,7 +185,9 @@ def sketches(docs: DataFrame, threshold: Fraction, size: int) -> DataFrame:
                     continue
                 codes = sets.codes[s:e]
                 digests.append(digest(codes))
-                keys.append(bands.keys(codes).view(np.int64))
+                keys.append(None if digests[-1] in seen else bands.keys(codes, shared.value).view(np.int64))
+                if len(seen) < _SEEN:
+                    seen.add(digests[-1])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "class", "keys"])
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, class binary, keys array<bigint>")
@@ -216,17 +281,19 @@ def linked(docs: DataFrame, threshold: Fraction = Fraction(9, 10), size: int = 3
     """doc_id, n_shingles, component_id (smallest id reachable), n_links (documents that it links with)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    found = scratch.table(sketches(docs, threshold, size), "sketches")
+    found = scratch.table(sketches(docs, threshold, size, frequent_shingles(docs, size)), "sketches")
+    # Classes go by 64-bit codes here; should two share one, their blocks are searched together.
+    keys = found.where("keys IS NOT NULL AND doc_id IS NOT NULL").select(F.xxhash64("class").alias("code"), F.explode("keys").alias("key"))
+    # A class has a key for each of many parts, so even the keys of a large family of copies spread.
+    ties = keys.withColumn("least", F.min("code").over(Window.partitionBy("key"))).where("code > least").select(F.col("code").alias("a"), F.col("least").alias("b"))
+    blocks = components(ties, scratch, "ties").select(F.col("node").alias("code"), F.col("component").alias("block"))
+    found = scratch.table(found.drop("keys"), "ids")
     members = found.where("class IS NOT NULL AND doc_id IS NOT NULL").withColumnRenamed("class", "cls")
-    # the keys of a class are the same for each of its documents
-    classes = members.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min_by("keys", "doc_id").alias("keys"))
-    classes = scratch.table(classes, "classes")
-
-    keys = classes.select("cls", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).where("least < most").select("key", "least")
-    ties = keys.join(shared, "key").where("cls > least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
-    blocks = components(ties, scratch, "ties").select(F.col("node").alias("cls"), F.col("component").alias("block"))
-    blocks = scratch.table(blocks.join(classes.select("cls", "doc", "copies"), "cls"), "blocks")
+    classes = scratch.table(members.groupBy("cls").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "classes")
+    blocks = scratch.table(classes.withColumn("code", F.xxhash64("cls")).join(blocks, "code").drop("code"), "blocks")
+    del keys, ties
+    scratch.drop("sketches")
+    scratch.release()
 
     slices = blocks.groupBy("block").agg(F.ceil(F.count("*") / slice_size).cast("int").alias("slices"))
     rows = blocks.join(slices, "block").withColumn("slice", F.pmod(F.hash("cls"), F.col("slices")))
@@ -235,6 +302,9 @@ def linked(docs: DataFrame, threshold: Fraction = Fraction(9, 10), size: int = 3
         "cls", "doc", "copies", "block", F.least("slice", "other").alias("x"), F.greatest("slice", "other").alias("y"),
         (F.col("slice") > F.col("other")).cast("int").alias("side"),
     )
+    # Few rows go to the texts; beyond a bound both sides are shuffled.
+    rows = scratch.table(rows, "rows")
+    rows = F.broadcast(rows) if rows.count() <= MOST_BROADCAST else rows.hint("shuffle_merge")
     work = rows.join(docs, F.col("doc") == F.col("doc_id")).select("block", "x", "y", "side", "cls", "copies", "text")
     work = work.repartition("block", "x", "y").sortWithinPartitions("block", "x", "y")
 
@@ -264,7 +334,7 @@ def linked(docs: DataFrame, threshold: Fraction = Fraction(9, 10), size: int = 3
     links = result.where("b IS NULL").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
     by_class = classes.select("cls", "doc", "copies").join(groups, "cls", "left").join(links, "cls", "left").where("copies > 1 OR component_id IS NOT NULL")
     by_class = by_class.select("cls", F.coalesce("component_id", "doc").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    out = found.drop("keys").join(by_class, F.col("class") == F.col("cls"), "left")
+    out = found.join(by_class, F.col("class") == F.col("cls"), "left")
     return out.select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
