@@ -48,7 +48,7 @@ class Scratch:
             return
 
 
-def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
     """Bounds the Arrow batches that Python sees, in rows and bytes, unless the session has lower bounds."""
     for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
         key = f"spark.sql.execution.arrow.{key}"

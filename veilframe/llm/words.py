@@ -11,8 +11,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+# Freed batches go back to the system: workers live long, beside a JVM that needs the memory.
+pa.set_memory_pool(pa.system_memory_pool())
 #: Bytes that one step looks at; a longer text is a step of its own.
-STEP = 2 << 20
+STEP = 1 << 20
 
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[0x20, *range(0x09, 0x0E)]] = False
