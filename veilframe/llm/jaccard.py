@@ -35,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import tokens
 from .graph import components
 from .scratch import Scratch, small_batches
 from .words import SPACED, Words, mix, rolled, short_rows, steps
@@ -136,6 +137,7 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     small_batches(docs.sparkSession)
 
     def run(batches):
+        tokens.release()
         held, n = np.empty(_COUNTED, np.uint64), 0
 
         def report(n):
@@ -173,6 +175,7 @@ def sketches(docs: DataFrame, threshold: Fraction, size: int, frequent: np.ndarr
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches):
+        tokens.release()
         bands = Bands(threshold)
         seen: set[bytes] = set()
         for batch in batches:

@@ -121,6 +121,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Drops the encoders of this worker: one that served another operator before gives their memory back."""
+    _encoders.clear()
+
+
 def text_steps(texts: list[str | None], size: int = 2 << 20):
     """Runs of texts of about size characters; null is empty."""
     run: list[str] = []
