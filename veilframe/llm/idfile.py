@@ -10,7 +10,7 @@ A block is up to BLOCK ids of consecutive documents. Its model starts from nothi
   time that it stands in the part of the block coded before the last power of two. With that part
   sorted, an id's cumulative frequency is id + WEIGHT * rank, and decoding is one binary search.
 
-A carry-less range coder of 48 bits writes 16-bit words. Blocks are coded side by side, one numpy
+A carry-less range coder of 60 bits writes 16-bit words, once for each id. Blocks are coded side by side, one numpy
 lane each. A record holds a magic number, the vocabulary size, and for each block its ids, bytes
 and the CRC-32 of its ids; a block whose checksum does not match is a ValueError.
 
@@ -38,50 +38,51 @@ from .words import spread
 
 BLOCK = 4096
 #: Blocks that are coded side by side.
-LANES = 1024
+LANES = 768
 WEIGHT = 64
 MAGIC = b"VIDS"
 _SLOTS = 4096
-_TOP, _LOW, _MASK = 1 << 32, 1 << 24, (1 << 48) - 1
+_TOP, _LOW, _MASK = 1 << 44, 1 << 40, (1 << 60) - 1
 _FLAG_STEP, _FLAG_MOST = 24, 1 << 13
 
 
 class _Model:
-    """The adaptive state of n lanes, the same for coding and decoding."""
-
-    def __init__(self, n: int, vocab: int):
-        self.vocab = vocab
-        self.after1 = np.full((n, _SLOTS), -1, np.int32)
-        self.after2 = np.full((n, _SLOTS), -1, np.int32)
-        self.flag_a = np.tile(np.array([2, 2, 12], np.int64), (n, 18, 1))
-        self.flag_b = np.tile(np.array([1, 1, 6], np.int64), (n, 64, 1))
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
-        self.flags = np.full(n, 8, np.int64)
-        self.lane = np.arange(n)
+    """The adaptive state of n lanes, the same for coding and decoding. Lane i owns row i of every table, laid out flat."""
+
+    def __init__(self, n: int):
+        lane = np.arange(n)
+        self.after1, self.after2 = np.full(n * _SLOTS, -1, np.int32), np.full(n * _SLOTS, -1, np.int32)
+        self.flag_a = np.tile(np.array([2, 2, 12], np.int64), (n * 18, 1))
+        self.flag_b = np.tile(np.array([1, 1, 6], np.int64), (n * 64, 1))
+        self.slots, self.row_a, self.row_b, self.row3 = lane * _SLOTS, lane * 18, lane * 64, lane * 3
+        self.last, self.before, self.flags = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, 8, np.int64)
 
     def predict(self, m: int) -> None:
-        lane, last = self.lane[:m], self.last[:m]
-        self.slot1 = last & (_SLOTS - 1)
-        self.slot2 = (last * 40503 + self.before[:m] * 30011) & (_SLOTS - 1)
-        self.p1, self.p2 = self.after1[lane, self.slot1], self.after2[lane, self.slot2]
-        self.a = self.flags[:m] * 2 + (self.p1 == self.p2)
-        self.b = last & 63
-        f = self.flag_a[lane, self.a] + self.flag_b[lane, self.b]
-        self.f0, self.f1 = f[:, 0], f[:, 1]
-        self.total = self.f0 + self.f1 + f[:, 2]
+        last = self.last[:m]
+        self.at1 = self.slots[:m] + (last & (_SLOTS - 1))
+        self.at2 = self.slots[:m] + ((last * 40503 + self.before[:m] * 30011) & (_SLOTS - 1))
+        self.p1, self.p2 = self.after1[self.at1], self.after2[self.at2]
+        self.a = self.row_a[:m] + self.flags[:m] * 2 + (self.p1 == self.p2)
+        self.b = self.row_b[:m] + (last & 63)
+        self.sums = np.cumsum(self.flag_a[self.a] + self.flag_b[self.b], axis=1)
+        self.total = self.sums[:, 2]
+
+    def span(self, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(cumulative frequency, frequency) of each lane's flag."""
+        end = self.sums.ravel()[self.row3[: len(flag)] + flag]
+        begin = np.where(flag > 0, self.sums.ravel()[self.row3[: len(flag)] + flag - 1], 0)
+        return begin, end - begin
 
     def update(self, ids: np.ndarray, flag: np.ndarray) -> None:
         m = len(ids)
-        lane = self.lane[:m]
         for table, at in ((self.flag_a, self.a), (self.flag_b, self.b)):
-            table[lane, at, flag] += _FLAG_STEP
-        if (self.total > _FLAG_MOST).any():
-            big = np.flatnonzero(self.total > _FLAG_MOST)
-            for table, at in ((self.flag_a, self.a), (self.flag_b, self.b)):
-                table[big, at[big]] = (table[big, at[big]] + 1) >> 1
-        self.after1[lane, self.slot1] = ids
-        self.after2[lane, self.slot2] = ids
+            table.reshape(-1)[at * 3 + flag] += _FLAG_STEP
+        big = np.flatnonzero(self.total > _FLAG_MOST)
+        if len(big):
+            for table, at in ((self.flag_a, self.a[big]), (self.flag_b, self.b[big])):
+                table[at] = (table[at] + 1) >> 1
+        self.after1[self.at1] = ids
+        self.after2[self.at2] = ids
         self.before[:m], self.last[:m] = self.last[:m], ids
         self.flags[:m] = (self.flags[:m] * 3 + flag) % 9
 
@@ -91,143 +92,125 @@ def _epoch(t: int) -> int:
     return 0 if t < 32 else 1 << (t.bit_length() - 1)
 
 
-class _Coder:
-    def __init__(self, n: int, cap: int):
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
-        self.words = np.zeros((n, cap), np.uint16)
-        self.at = np.zeros(n, np.int64)
-
-    def put(self, lanes: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        low, rng = self.low[lanes], self.range[lanes] // total
-        low, rng = low + start * rng, size * rng
-        ids = np.arange(len(self.low))[lanes]
-        while True:
-            same = (low ^ (low + rng)) < _TOP
-            small = ~same & (rng < _LOW)
-            move = np.flatnonzero(same | small)
-            if not len(move):
-                break
-            rng[small] = -low[small] & (_LOW - 1)
-            who = ids[move]
-            self.words[who, self.at[who]] = low[move] >> 32
-            self.at[who] += 1
-            low[move] = (low[move] << 16) & _MASK
-            rng[move] <<= 16
-        self.low[lanes], self.range[lanes] = low, rng
-
-    def ends(self) -> list[bytes]:
-        for shift in (32, 16, 0):
-            self.words[np.arange(len(self.low)), self.at] = (self.low >> shift) & 0xFFFF
-            self.at += 1
-        return [w[:n].astype("<u2").tobytes() for w, n in zip(self.words, self.at.tolist(), strict=True)]
+def _settle(low: np.ndarray, rng: np.ndarray, m: int):
+    """Shifts words out of the first m lanes until each range is wide again; yields (lanes, low before the shift)."""
+    who, lo, r = None, low[:m], rng[:m]
+    while True:
+        same = (lo ^ (lo + r)) < _TOP
+        move = np.flatnonzero(same | (r < _LOW))
+        if not len(move):
+            return
+        who = move if who is None else who[move]
+        lo = lo[move]
+        r = np.where(same[move], r[move], -lo & (_LOW - 1))
+        yield who, lo
+        lo, r = (lo & (_TOP - 1)) << 16, r << 16
+        low[who], rng[who] = lo, r
+
+
+def _grid(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(blocks by falling length, one lane each; lanes that have an id at t; place of each id in a grid of t by lane)."""
+    order = np.argsort(-counts, kind="stable")
+    longest = int(counts.max(initial=0))
+    live = np.searchsorted(-counts[order], -np.arange(longest), "left")
+    back = np.empty(len(counts), np.int64)
+    back[order] = np.arange(len(counts))
+    place = spread(np.zeros(len(counts), np.int64), counts) * len(counts) + np.repeat(back, counts)
+    return order, live, place
 
 
 def encode_blocks(ids: np.ndarray, counts: np.ndarray, vocab: int) -> list[bytes]:
     """The coded bytes of consecutive blocks of ids (counts[i] of them)."""
     if len(ids) and (int(ids.max()) >= vocab or int(ids.min()) < 0):
         raise ValueError("an id lies outside the vocabulary")
-    order = np.argsort(-counts, kind="stable")
-    n, longest = len(counts), int(counts.max(initial=0))
-    grid = np.zeros((n, longest), np.int64)
-    first = np.cumsum(counts) - counts
-    rows = np.repeat(np.arange(n), counts[order])
-    cols = spread(np.zeros(n, np.int64), counts[order])
-    grid[rows, cols] = ids[spread(first[order], counts[order])]
-    live = np.searchsorted(-counts[order], -np.arange(longest), "left")  # lanes that have an id at t
-    model, coder = _Model(n, vocab), _Coder(n, longest * 3 + 8)
-    known = 0
-    start0 = size0 = None
+    order, live, place = _grid(counts)
+    n, longest = len(counts), len(live)
+    grid = np.zeros((longest, n), np.int64)
+    grid.ravel()[place] = ids
+    model = _Model(n)
+    low, rng = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
+    words, at = np.zeros((n, longest * 3 + 8), np.uint16), np.zeros(n, np.int64)
+    known, base = -1, 0
     for t in range(longest):
         m = int(live[t])
-        if start0 is None or _epoch(t) != known:
-            known = _epoch(t)
-            stop = min(longest, max(32, 2 * known))
-            base = t
-            part = grid[:m, t:stop]
-            offset = (np.arange(m) << 32)[:, None]
-            past = (np.sort(grid[:m, :known], axis=1) + offset).ravel()
+        if _epoch(t) != known:
+            known, base = _epoch(t), t
+            part = grid[t : min(longest, max(32, 2 * known)), :m]
+            offset, skip = np.arange(m) << 32, np.arange(m) * known
+            past = (np.sort(grid[:known, :m].T, axis=1) + offset[:, None]).ravel()
             want = part + offset
-            left = np.searchsorted(past, want.ravel()).reshape(want.shape) - np.arange(m)[:, None] * known
-            right = np.searchsorted(past, want.ravel(), "right").reshape(want.shape) - np.arange(m)[:, None] * known
-            start0, size0 = part + WEIGHT * left, 1 + WEIGHT * (right - left)
-        x = grid[:m, t]
+            left = np.searchsorted(past, want) - skip
+            start0, size0 = part + WEIGHT * left, 1 + WEIGHT * (np.searchsorted(past, want, "right") - skip - left)
+            total0 = vocab + WEIGHT * known
+        x = grid[t, :m]
         model.predict(m)
         flag = np.where(x == model.p2, 0, np.where(x == model.p1, 1, 2))
-        begin = np.where(flag == 0, 0, np.where(flag == 1, model.f0, model.f0 + model.f1))
-        size = np.where(flag == 0, model.f0, np.where(flag == 1, model.f1, model.total - model.f0 - model.f1))
-        coder.put(slice(0, m), begin, size, model.total)
+        begin, size = model.span(flag)
+        unit = rng[:m] // model.total
+        low[:m] += begin * unit
+        rng[:m] = size * unit
         miss = np.flatnonzero(flag == 2)
         if len(miss):
-            coder.put(miss, start0[miss, t - base], size0[miss, t - base], np.int64(vocab + WEIGHT * known))
+            unit = rng[miss] // total0
+            low[miss] += start0[t - base, miss] * unit
+            rng[miss] = size0[t - base, miss] * unit
+        for who, lo in _settle(low, rng, m):
+            words[who, at[who]] = lo >> 44
+            at[who] += 1
         model.update(x, flag)
-    coded = coder.ends()
+    for shift in (44, 28, 12):
+        words[np.arange(n), at] = (low >> shift) & 0xFFFF
+        at += 1
+    words[np.arange(n), at] = (low << 4) & 0xFFFF
     out: list[bytes] = [b""] * n
     for lane, block in enumerate(order.tolist()):
-        out[block] = coded[lane]
+        out[block] = words[lane, : at[lane] + 1].astype("<u2").tobytes()
     return out
 
 
 def decode_blocks(coded: list[bytes], counts: np.ndarray, vocab: int) -> np.ndarray:
     """The ids of the blocks, in their order."""
-    order = np.argsort(-counts, kind="stable")
-    n, longest = len(counts), int(counts.max(initial=0))
-    live = np.searchsorted(-counts[order], -np.arange(longest), "left")
+    order, live, place = _grid(counts)
+    n, longest = len(counts), len(live)
     cap = max((len(x) for x in coded), default=0) // 2 + 4
     words = np.zeros((n, cap), np.int64)
     for lane, block in enumerate(order.tolist()):
         w = np.frombuffer(coded[block], "<u2")
         words[lane, : len(w)] = w
     low, rng = np.zeros(n, np.int64), np.full(n, _MASK, np.int64)
-    code = (words[:, 0] << 32) | (words[:, 1] << 16) | words[:, 2]
+    # The coder holds 60 bits, that is three words and twelve bits of the fourth, which the next shift completes.
+    code = (words[:, 0] << 44) | (words[:, 1] << 28) | (words[:, 2] << 12) | (words[:, 3] >> 4)
     at = np.full(n, 3)
-    model = _Model(n, vocab)
-    grid = np.zeros((n, longest), np.int64)
-    lane_of = np.arange(n)
-
-    def take(lanes, start, size, unit):
-        lo, r, c = low[lanes] + start * unit, size * unit, code[lanes]
-        ids = lane_of[lanes]
-        while True:
-            same = (lo ^ (lo + r)) < _TOP
-            small = ~same & (r < _LOW)
-            move = np.flatnonzero(same | small)
-            if not len(move):
-                break
-            r[small] = -lo[small] & (_LOW - 1)
-            who = ids[move]
-            c[move] = ((c[move] << 16) & _MASK) | words[who, np.minimum(at[who], cap - 1)]
-            at[who] += 1
-            lo[move] = (lo[move] << 16) & _MASK
-            r[move] <<= 16
-        low[lanes], rng[lanes], code[lanes] = lo, r, c
-
+    model = _Model(n)
+    grid = np.zeros((longest, n), np.int64)
     known = -1
     for t in range(longest):
         m = int(live[t])
         if _epoch(t) != known:
             known = _epoch(t)
-            past = np.sort(grid[:m, :known], axis=1)
-            at_ = np.arange(known)
+            past = np.sort(grid[:known, :m].T, axis=1)
+            run = np.arange(known)
             fresh = np.diff(past, axis=1, prepend=-1) > 0
-            left_of = np.maximum.accumulate(np.where(fresh, at_, 0), axis=1)
+            left_of = np.maximum.accumulate(np.where(fresh, run, 0), axis=1).ravel()
             final = np.roll(fresh, -1, axis=1)
             final[:, -1:] = True
-            right_of = np.minimum.accumulate(np.where(final, at_ + 1, known)[:, ::-1], axis=1)[:, ::-1].ravel()
-            steps = ((past + WEIGHT * at_) + (np.arange(m) << 32)[:, None]).ravel()
-            past, left_of = past.ravel(), left_of.ravel()
-            total0 = np.int64(vocab + WEIGHT * known)
+            right_of = np.minimum.accumulate(np.where(final, run + 1, known)[:, ::-1], axis=1)[:, ::-1].ravel()
+            steps = ((past + WEIGHT * run) + (np.arange(m) << 32)[:, None]).ravel()
+            past = past.ravel()
+            total0 = vocab + WEIGHT * known
         model.predict(m)
         unit = rng[:m] // model.total
         got = np.minimum((code[:m] - low[:m]) // unit, model.total - 1)
-        flag = np.where(got < model.f0, 0, np.where(got < model.f0 + model.f1, 1, 2))
-        begin = np.where(flag == 0, 0, np.where(flag == 1, model.f0, model.f0 + model.f1))
-        size = np.where(flag == 0, model.f0, np.where(flag == 1, model.f1, model.total - model.f0 - model.f1))
-        take(slice(0, m), begin, size, unit)
+        flag = (got >= model.sums[:, 0]).astype(np.int64) + (got >= model.sums[:, 1])
+        begin, size = model.span(flag)
+        low[:m] += begin * unit
+        rng[:m] = size * unit
         x = np.where(flag == 0, model.p2, model.p1).astype(np.int64)
         miss = np.flatnonzero(flag == 2)
         if len(miss):
             unit = rng[miss] // total0
             got = np.minimum((code[miss] - low[miss]) // unit, total0 - 1)
+            value, left, count = got, 0, 0
             if known:
                 rank = np.searchsorted(steps, got + (miss << 32), "right") - miss * known
                 near = miss * known + np.maximum(rank - 1, 0)
@@ -235,15 +218,15 @@ def decode_blocks(coded: list[bytes], counts: np.ndarray, vocab: int) -> np.ndar
                 value = np.where(seen, past[near], got - WEIGHT * rank)
                 left = np.where(seen, left_of[near], rank)
                 count = np.where(seen, right_of[near] - left_of[near], 0)
-            else:
-                value, left, count = got, 0, np.zeros(len(miss), np.int64)
-            take(miss, value + WEIGHT * left, 1 + WEIGHT * count, unit)
+            low[miss] += (value + WEIGHT * left) * unit
+            rng[miss] = (1 + WEIGHT * count) * unit
             x[miss] = value
+        for who, _ in _settle(low, rng, m):
+            code[who] = ((code[who] & (_TOP - 1)) << 16) | ((words[who, np.minimum(at[who], cap - 2)] & 15) << 12) | (words[who, np.minimum(at[who] + 1, cap - 1)] >> 4)
+            at[who] += 1
         model.update(x, flag)
-        grid[:m, t] = x
-    back = np.empty(n, np.int64)
-    back[order] = np.arange(n)
-    return grid[np.repeat(back, counts), spread(np.zeros(n, np.int64), counts)]
+        grid[t, :m] = x
+    return grid.ravel()[place]
 
 
 def pack_record(ids: np.ndarray, counts: np.ndarray, vocab: int) -> bytes:
