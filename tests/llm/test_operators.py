@@ -143,6 +143,36 @@ def test_fuzzy_lines_against_all_pairs(spark):
     assert gone == {(i, 0) for i in range(60) if least[root[i]] != i} and 0 < len(gone) < 60
 
 
+def test_fuzzy_lines_are_complete():
+    """Every pair at the similarity shares a key, short lines too, at any order of the grams."""
+    rng = random.Random(12)
+    for trial in range(300):
+        q, similarity = rng.choice([(2, 0.8), (2, 0.9), (1, 0.6)])
+        a = [rng.randrange(rng.choice([6, 300])) for _ in range(rng.randrange(5, 70))]
+        b = list(a)
+        for _ in range(rng.randrange(len(a) // 3 + 1)):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            b[at : at + (kind != 1)] = [rng.randrange(300)] * (kind != 2)
+        if len(b) < 5 or a == b or passages._edits(np.array(a), np.array(b)) > lines.most_edits(max(len(a), len(b)), similarity):
+            continue
+        counts = np.array([rng.randrange(1, 50) for _ in range(lines._SYMBOLS)])
+        row, key = lines.gram_keys(np.array(a + b), np.array([0, len(a), len(a) + len(b)]), counts, similarity, q)
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_fuzzy_lines_recall_over_all_pairs(spark):
+    rng = random.Random(13)
+    docs = []
+    for i, n in enumerate([5, 6, 9, 10, 12, 20, 40, 60] * 6):
+        w = [f"u{rng.randrange(50000)}" for _ in range(n)]
+        x = list(w)
+        for at in rng.sample(range(n), n // 5):
+            x[at] = f"x{rng.randrange(50000)}"
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+    gone = lines.duplicate_lines(spark.createDataFrame(docs, DOC), fuzzy_words=5).collect()
+    assert sorted(r.doc_id for r in gone) == list(range(1, len(docs), 2))
+
+
 # -- 3 ----------------------------------------------------------------------
 
 

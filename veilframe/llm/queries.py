@@ -28,7 +28,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import deduped
 
-    found = deduped(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = deduped(_read(spark, sf_dir, "documents").select("doc_id", "text"), fuzzy_words=5)
     return found.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed", F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
