@@ -377,6 +377,16 @@ def test_toxicity(spark):
     assert toxicity.scored(empty(spark), model).count() == 0
 
 
+def test_whole_runs_are_restored(spark):
+    words = ["idiot", "moron", "a", "station", "then", "over"]
+    rows = [(i, " ".join(words[(i * k) % 6] for k in range(1, 9))) for i in range(60)]
+    r = toxicity.Restorer(toxicity.gram_counts(spark.createDataFrame(rows, DOC)))
+    assert r.run("a i d i o t") == "a idiot" and r.run("i d i o t m o r o n") == "idiot moron"
+    late = " ".join("station" * 10 + "moron")
+    assert "moron" in r.words(f"then {late} ok") and r.restored(late) == "station " * 10 + "moron"
+    assert "idiot" in r.words(".".join("station" * 8 + "idiot")) and r.word("id" + "i" * 60 + "ot") == "idiot"
+
+
 # -- 9 ----------------------------------------------------------------------
 
 

@@ -4,8 +4,9 @@
    counted over every document. Its table has at most 27**4 entries.
 2. A chunk between spaces that mixes letters with look-alikes, puts marks between letters or
    stretches a letter, and a run of single characters, becomes a lattice: each character offers
-   the letters that it may stand for, or nothing, at a channel cost. Viterbi finds the cheapest
-   path under the model. Any other chunk is its own letters.
+   the letters that it may stand for, or nothing, at a channel cost; a mark, and the gap between two
+   single characters, may also be a word boundary. Viterbi finds the cheapest path under the model,
+   over the whole chunk or run, however long. Any other chunk is its own letters.
 3. Words that tell toxic training rows from others (the n_words largest log-odds that are
    significant) enter a logistic regression, fitted on at most max_rows labelled rows in the order
    of a hash of doc_id. Whether a word is in the restored text is all that the score sees.
@@ -35,7 +36,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Channel costs (natural logarithms): a letter as it is, a look-alike, a dropped mark, a letter dropped from
 #: two equal ones and from three or more.
 KEEP, LIKE, DROP, TWICE, REPEAT = math.log(0.95), math.log(0.04), math.log(0.02), math.log(0.001), math.log(0.3)
-LONGEST = 48  # characters of a chunk that can be a disguised word
+#: A word boundary in place of a mark, and between two characters of a run of single ones.
+BREAK, SPLIT = math.log(0.02), math.log(0.05)
 _FOLD = {c: unicodedata.normalize("NFD", chr(c))[0].lower() for c in range(0xC0, 0x250)}
 _FOLD = {c: x for c, x in _FOLD.items() if "a" <= x <= "z"} | {0xDF: "s"}
 _SYMBOL = np.zeros(0x250, np.int64)
@@ -90,39 +92,58 @@ class Restorer:
         self.logp = np.log(p).reshape(_N**3, _N).astype(np.float32)
         self.known: dict[str, str] = {}
 
-    def viterbi(self, chunk: str) -> str:
-        """The letters of the cheapest path through the lattice of a lower-cased, folded chunk."""
-        beam: dict[int, tuple[float, str]] = {0: (0.0, "")}
+    def viterbi(self, chunk: str, spaced: bool = False) -> str:
+        """The words of the cheapest path through the lattice of a lower-cased, folded chunk; spaced: each character stood alone."""
+        beam: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # a path is (path before, symbol)
         logp, before = self.logp, ""
         for i, ch in enumerate(chunk):
+            if spaced and i:
+                # the boundary is its own step, so that a state keeps both ways
+                ended = max(((score + SPLIT + float(logp[state, 0]), (path, " ")) for state, (score, path) in beam.items() if state), key=lambda x: x[0], default=None)
+                if ended and (0 not in beam or ended[0] > beam[0][0]):
+                    beam[0] = ended
             if "a" <= ch <= "z":
                 stretched = chunk[max(0, i - 2) : i + 1] == ch * 3 or chunk[i - 1 : i + 2] == ch * 3
                 options = [(ch, KEEP)] + ([("", REPEAT if stretched else TWICE)] if ch == before else [])
             else:
                 letters = LOOKALIKES.get(ch, "")
                 options = [(x, LIKE - math.log(len(letters))) for x in letters] + [("", DROP if ch != before else REPEAT)]
+                if not spaced:
+                    options.append((" ", BREAK))
             before = ch
-            step: dict[int, tuple[float, str]] = {}
+            step: dict[int, tuple[float, tuple | None]] = {}
             for state, (score, path) in beam.items():
                 for letter, cost in options:
-                    if letter:
+                    if letter == " ":
+                        if not state:
+                            continue
+                        to, total = 0, score + cost + float(logp[state, 0])
+                    elif letter:
                         x = ord(letter) - 96
                         to, total = (state * _N + x) % _N**3, score + cost + float(logp[state, x])
                     else:
                         to, total = state, score + cost
                     if to not in step or total > step[to][0]:
-                        step[to] = (total, path + letter)
+                        step[to] = (total, (path, letter) if letter else path)
             beam = step
-        return max((score + float(logp[state, 0]), path) for state, (score, path) in beam.items())[1]
+        path, out = max(((score + float(logp[state, 0]), path) for state, (score, path) in beam.items()), key=lambda x: x[0])[1], []
+        while path is not None:
+            path, letter = path
+            out.append(letter)
+        return "".join(reversed(out)).strip()
+
+    def run(self, singles: str) -> str:
+        """The words of a run of single characters."""
+        return self.viterbi("".join(_FOLD.get(ord(c), c) for c in singles if not c.isspace()).lower(), True)
 
     def word(self, chunk: str) -> str:
-        """The restored word of a chunk; empty if it has no letters."""
+        """The restored word of a chunk (words, with spaces between, if it hid several); empty if it has no letters."""
         got = self.known.get(chunk)
         if got is not None:
             return got
         plain = "".join(_FOLD.get(ord(c), c) for c in chunk).lower()
         part = _TAIL.sub("", plain).lstrip(_MARKS)
-        if (part.isascii() and part.isalpha() and not _STRETCHED.search(part)) or len(part) > LONGEST or not _MIXED.match(part):
+        if (part.isascii() and part.isalpha() and not _STRETCHED.search(part)) or not _MIXED.match(part):
             got = part.strip(_MARKS + "@$!|+€£(")
         else:
             got = self.viterbi(part)
@@ -133,15 +154,14 @@ class Restorer:
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text."""
-        out = {self.word(x) for x in set(text.split())}
+        out = {w for x in set(text.split()) for w in self.word(x).split()}
         for run in _SINGLES.findall(text) if " " in text else ():
-            out.add(self.viterbi("".join(_FOLD.get(ord(c), c) for c in run if not c.isspace()).lower()[:LONGEST]))
-        out.discard("")
+            out.update(self.run(run).split())
         return out
 
     def restored(self, text: str) -> str:
         """The whole text with its disguised words restored (and every other as it is)."""
-        text = _SINGLES.sub(lambda m: self.viterbi("".join(_FOLD.get(ord(c), c) for c in m[0] if not c.isspace()).lower()[:LONGEST]), text)
+        text = _SINGLES.sub(lambda m: self.run(m[0]), text)
         return re.sub(r"\S+", lambda m: self.word(m[0]) if _MIXED.match(m[0].lower()) else m[0], text)
 
 
