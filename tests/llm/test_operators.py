@@ -240,6 +240,20 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_notices(spark):
+    import textwrap
+
+    docs, want = [], []
+    for label, notice in licenses.TEMPLATES:
+        for width in (40, 70):
+            body = "\n".join(f"# {x}" for x in textwrap.wrap(f"see here {notice} and so on", width))
+            docs.append((len(docs), f"first line\n{body}\n\nlast line"))
+            want.append(label)
+    docs.append((999, "permission is hereby granted\n" + "other words\n" * 30 + "free of charge to any person obtaining a copy of this software"))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, DOC)).collect()}
+    assert all(want[i] in got[i].labels.split(",") and got[i].score == 1.0 for i in range(len(want))) and got[999].labels == ""
+
+
 # -- 5 ----------------------------------------------------------------------
 
 
