@@ -198,6 +198,25 @@ def test_passages(spark):
     assert passages.repeated(empty(spark)).count() == 0
 
 
+def test_passage_recall(spark):
+    rng = random.Random(21)
+    word = lambda: f"v{rng.randrange(200000)}"
+    docs, n = [], 0
+    for size, edits in ((55, 5), (60, 9), (80, 12)):
+        for _ in range(40):
+            p = [word() for _ in range(size)]
+            q = list(p)
+            for at in rng.sample(range(4, size - 4), edits):
+                q[at] = word()
+            docs += [(2 * n + s, " ".join([word() for _ in range(30)] + x + [word() for _ in range(30)])) for s, x in enumerate((p, q))]
+            n += 1
+    frame = spark.createDataFrame(docs, DOC)
+    found = {r.doc for r in passages.passages(frame).collect()}
+    thinned = {r.doc for r in passages.passages(frame, window=16).collect()}
+    print("recall", len(found), len(thinned), n)
+    assert len(found) >= 0.97 * n > len(thinned) and all(d % 2 for d in found)
+
+
 def test_chains_against_all_subsequences():
     """The Fenwick tree finds the best chain score."""
     rng = np.random.default_rng(1)
