@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, decontaminate, idfile, jaccard, licenses, lines, packing, passages, quality, tokens, toxicity
+from veilframe.llm import chat, compact, decontaminate, idfile, jaccard, licenses, lines, packing, passages, quality, tokens, toxicity
 from veilframe.llm.graph import components
 from veilframe.llm.scratch import Scratch
 
@@ -160,6 +160,20 @@ def test_fuzzy_lines_are_complete():
         assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
+def test_fuzzy_lines_under_a_key_of_very_many(spark):
+    """More lines than SMALL share one rare pair; some of them are alike, none is like the pivot of all."""
+    rng = random.Random(14)
+    docs = []
+    for i in range(60):
+        w = [f"u{rng.randrange(50000)}" for _ in range(20)]
+        w[6:8] = ["rare", "pair"]
+        x = list(w)
+        x[rng.randrange(8, 20)] = "changed"
+        docs += [(2 * i, " ".join(w)), *([(2 * i + 1, " ".join(x))] if i % 3 == 0 else [])]
+    gone = lines.duplicate_lines(spark.createDataFrame(docs, DOC), fuzzy_words=5).collect()
+    assert sorted(r.doc_id for r in gone) == [2 * i + 1 for i in range(0, 60, 3)]
+
+
 def test_fuzzy_lines_recall_over_all_pairs(spark):
     rng = random.Random(13)
     docs = []
@@ -222,15 +236,113 @@ def test_chains_against_all_subsequences():
     rng = np.random.default_rng(1)
     for _ in range(60):
         n = int(rng.integers(1, 14))
-        i, j = rng.integers(0, 60, n), rng.integers(0, 60, n)
+        i, j, size = rng.integers(0, 60, n), rng.integers(0, 60, n), rng.integers(5, 12, n)
+        end = np.maximum(1, size - 4)
         best = [0.0] * n
-        for m in sorted(range(n), key=lambda x: (i[x], -j[x])):
-            best[m] = passages.GAIN + max([0.0, *(best[p] - passages.GAP * (i[m] - i[p] + j[m] - j[p]) for p in range(n) if i[p] < i[m] and j[p] < j[m])])
-        got = passages.chains(i, j, 5)
+        for m in sorted(range(n), key=lambda x: (i[x], j[x])):
+            before = [best[p] - passages.GAP * (i[m] - i[p] - size[p] + j[m] - j[p] - size[p]) for p in range(n) if i[p] + end[p] <= i[m] and j[p] + end[p] <= j[m]]
+            best[m] = size[m] + max([0.0, *before])
+        got = passages.chains(i, j, size, 4)
         assert abs(got[0][0] - max(best)) < 1e-9
         assert sorted(m for _, path in got for m in path) == list(range(n))
 
 
+def test_gap_edits_against_the_whole_matrix():
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        a, b = rng.integers(0, 4, rng.integers(0, 14)), rng.integers(0, 4, rng.integers(0, 14))
+        most = int(rng.integers(1, 9))
+        want = passages._edits(a, b)
+        got = passages.gap_edits(a, b, most)
+        assert (got > most) if want > most else (want <= got <= most and (got == want or len(a) == len(b)))
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(8)
+    for n in (0, 1, 1000):
+        code = np.sort(rng.integers(0, 1 << 48, n).astype(np.uint64))
+        columns = [code, rng.integers(-9, 1 << 40, n), rng.integers(0, 99, n).astype(np.int32)]
+        assert all((x == y).all() for x, y in zip(compact.unpack(compact.pack(*columns)), columns, strict=True))
+        back = [compact.unpack(p) for _, _, p in compact.dealt(compact.Deal(7, 48), 0, *columns)]
+        assert sum(len(x[0]) for x in back) == n and (not n or (np.concatenate([x[1] for x in back]) == columns[1]).all())
+
+
+def edited(rng, word, p, edits):
+    q = list(p)
+    for _ in range(edits):
+        at, kind = rng.randrange(2, len(q) - 2), rng.randrange(3)
+        q[at : at + (kind != 1)] = [word()] * (kind != 2)
+    return q
+
+
+@pytest.mark.parametrize("run_rows", [1 << 21, 700])
+def test_passages_against_all_pairs(spark, run_rows):
+    """Every 50 words of a document that an earlier one holds with 10 edits at most, by edit distance against all of it."""
+    rng = random.Random(31)
+    word = lambda: f"v{rng.randrange(3000)}"
+    base = [[word() for _ in range(n)] for n in (55, 60, 90)]
+    docs = []
+    for i in range(18):
+        w = [word() for _ in range(rng.randrange(10, 60))]
+        if i % 3:
+            w += edited(rng, word, base[i % 3 if i % 2 else 0], rng.choice([0, 2, 5, 8])) + [word() for _ in range(rng.randrange(40))]
+        docs.append(w)
+    frame = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(docs)], DOC)
+    found = passages.passages(frame, run_rows=run_rows).collect()
+    for r in found:
+        a, b = docs[r.doc][r.first : r.last + 1], docs[r.other][r.other_first : r.other_last + 1]
+        assert r.other < r.doc and len(a) >= 50 and r.equal >= 0.8 * max(len(a), len(b))
+        assert r.equal <= max(len(a), len(b)) - passages._edits(np.array(a), np.array(b))
+    code = {w: n for n, w in enumerate(sorted({w for d in docs for w in d}))}
+    codes = [np.array([code[w] for w in d]) for d in docs]
+    got = {(r.doc, n) for r in found for n in range(r.first, r.last + 1)}
+    want = [(x, s) for x in range(len(docs)) for s in range(max(0, len(codes[x]) - 49)) if any(held_within(codes[x][s : s + 50], codes[y]) <= 10 for y in range(x))]
+    # a window may reach 10 words beyond what is shared
+    hit = [(x, s) for x, s in want if sum((x, n) in got for n in range(s, s + 50)) >= 36]
+    assert len(want) > 100 and len(hit) >= 0.9 * len(want)
+
+
+def held_within(a, b):
+    """The fewest edits between a and any run of words of b."""
+    row = np.zeros(len(b) + 1, np.int64)
+    for n, x in enumerate(a.tolist(), 1):
+        new = np.concatenate([[n], np.minimum(row[1:] + 1, row[:-1] + (b != x))])
+        row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+    return int(row.min())
+
+
+def test_passages_beside_other_words_and_repeated_ids(spark):
+    rng = random.Random(32)
+    word = lambda: f"v{rng.randrange(90000)}"
+    some = lambda n: [word() for _ in range(n)]
+    a, b = some(100), some(100)
+    docs, n = [], 0
+    for gap in (0, 3, 20, 60, 100, 150, 700):
+        docs += [(n, " ".join(a + some(gap) + b)), (n + 1, " ".join(a + some(gap) + b))]
+        n += 2
+        a, b = some(100), some(100)
+    docs += [(900, " ".join(some(300))), (900, "zz " + " ".join(a)), (901, " ".join(a)), (901, None), (902, " ".join(some(3000) + b)), (903, " ".join(some(30000) + b))]
+    got = {r.doc_id: r for r in passages.repeated(spark.createDataFrame([(d, t, "x", 1) for d, t in docs], DOC + ", later string, doc int")).collect() if r.later}
+    for k, gap in enumerate((0, 3, 20, 60, 100, 150, 700)):
+        spans = got[2 * k + 1].later
+        assert sum(s.last - s.first + 1 for s in spans) >= 198 and (gap < 20 or len(spans) == 2)
+    assert [(s.first, s.last, s.other) for s in got[901].later] == [(0, 99, 900)]
+    assert [(s.first, s.last, s.other) for s in got[903].later] == [(30000, 30099, 902)]
+
+
+def test_a_passage_of_frequent_phrases(spark):
+    """Each third of the passage stands alone in other documents too; the pair that holds it whole is found."""
+    rng = random.Random(33)
+    some = lambda n: [f"v{rng.randrange(90000)}" for _ in range(n)]
+    parts = [some(20) for _ in range(3)]
+    docs = [(n, " ".join(some(20) + p + some(20))) for n, p in enumerate(parts * 2)]
+    whole = [w for p in parts for w in p]
+    docs.insert(3, (10, " ".join(some(9) + whole)))
+    docs = [*docs[:3], (10, docs[3][1]), *[(20 + n, t) for n, (_, t) in enumerate(docs[4:])], (50, " ".join(whole + some(9)))]
+    got = {r.doc_id: r.later for r in passages.repeated(spark.createDataFrame(docs, DOC)).collect()}
+    assert [(s.first, s.last, s.other) for s in got[50]] == [(0, 59, 10)]
+
+
 # -- 4 ----------------------------------------------------------------------
 
 
