@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import checks, morphology
 from veilframe.functions.matches import matches
-from veilframe.functions.normalize import normalized, to_raw, unified_word, with_normalized
+from veilframe.functions.normalize import normalized, raw_span, to_raw, unified_word, with_normalized
 from veilframe.functions.patterns import RULES
 from veilframe.functions.text import finding_id, fold, identity_key
 from veilframe.functions.tokens import EMAIL_TOKEN, TOKEN, base_of, normal_stem, parse_token
@@ -56,9 +56,11 @@ def test_keys_and_ids(spark):
 
 
 def test_normalisation():
-    text, starts, ends = normalized("Корй а​б  \n в N‑M №5")
+    raw = "Корй а​б  \n в N‑M №5"
+    text, runs = normalized(raw)
     assert text == "Корй аб\nв N-M No5"
-    assert starts[3] == 3 and ends[3] == 5 and len(starts) == len(text)
+    assert raw_span(runs, 3, 4) == (3, 5) and raw[slice(*raw_span(runs, 5, 7))].startswith("а") and raw_span(runs, 0, len(text)) == (0, len(raw))
+    assert raw_span(runs, len(text) - 3, len(text) - 2) == raw_span(runs, len(text) - 2, len(text) - 1) and normalized("") == ("", [(0, 0, 0)])
     assert unified_word("Mосква") == "Москва" and unified_word("Wосква") == "Wосква" and unified_word("Nаme") == "Name"
 
 
@@ -66,7 +68,7 @@ def test_offsets_lead_back(spark):
     rows = spark.createDataFrame([("plain text",), ("а​б  x y",), (None,), ("",)], "t string")
     out = with_normalized(rows, "t").select("t", "norm", to_raw(F.col("norm"), F.lit(0), F.lit(2)).alias("r")).collect()
     by = {r.t: r for r in out}
-    assert by["plain text"].norm.starts is None and by["plain text"].r[:] == (0, 2)
+    assert by["plain text"].norm.runs is None and by["plain text"].r[:] == (0, 2)
     assert by["а​б  x y"].norm.text == "аб x y" and by["а​б  x y"].r[:] == (0, 3)
 
 
