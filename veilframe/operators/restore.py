@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.matches import matches
-from ..functions.tokens import EMAIL_TOKEN, TOKEN, TOKEN_AFTER_UNDERSCORE, parse_token
+from ..functions.tokens import EMAIL_TOKEN, KINDS, TOKEN, TOKEN_AFTER_UNDERSCORE, parse_token
 from .splice import GUARD, splice
 from .vault import Vault, lookup
 
@@ -16,10 +16,10 @@ def found_tokens(text: Column, after_underscore: bool = False) -> Column:
     return F.when(text.rlike("[0-9]"), both).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def token_rows(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+def token_rows(units: DataFrame, keys: list[str], text: str = "text", after_underscore: bool = False) -> DataFrame:
     """One row for each token: keys, start, end (separators included), raw, base, variant, suffix, ending."""
     body = F.col(text)
-    rows = units.select(*keys, body.alias("__t"), F.explode(found_tokens(body)).alias("m"))
+    rows = units.select(*keys, body.alias("__t"), F.explode(found_tokens(body, after_underscore)).alias("m"))
     read = parse_token(F.col("m.value"))
     rows = rows.withColumn("read", read)
     start, end = F.col("m.start"), F.col("m.end")
@@ -29,9 +29,9 @@ def token_rows(units: DataFrame, keys: list[str], text: str = "text") -> DataFra
     return rows.select(*keys, wider.alias("start"), longer.alias("end"), F.col("m.value").alias("raw"), F.col("read.base").alias("base"), F.col("read.kind").alias("kind"), F.col("read.number").alias("number"), F.col("read.variant").alias("variant"), F.col("read.suffix").alias("suffix"), ending.alias("ending"))
 
 
-def resolved_tokens(units: DataFrame, vault: Vault, keys: list[str], text: str = "text") -> DataFrame:
+def resolved_tokens(units: DataFrame, vault: Vault, keys: list[str], text: str = "text", after_underscore: bool = False) -> DataFrame:
     """token_rows with status and replacement (null where the token stays)."""
-    rows = lookup(vault, token_rows(units, keys, text))
+    rows = lookup(vault, token_rows(units, keys, text, after_underscore))
     # A suffix that is no known spelling was text: the first spelling and the suffix come back.
     back = F.when(F.col("status") == "ok", F.col("original")).when(F.col("status") == "variant_missing", F.concat("original", F.when(F.col("suffix") != "", F.concat(F.lit("_"), F.col("suffix"))).otherwise("")))
     return rows.withColumn("replacement", back)
@@ -54,7 +54,7 @@ def restore_stats(tokens: DataFrame, by: list[str]) -> DataFrame:
 
 def broken_tokens(text: Column) -> Column:
     """Strings that look like damaged tokens: a space before the number, or two tokens run together."""
-    stem = r"(?:Name|Company|Project|City|Region|Address|Phone|Handle|Domain|File|Contract|Account|Card)"
+    stem = f"(?:{'|'.join(k.stem for k in KINDS if k.code != 'EMAIL')})"
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(rf"\b{stem} [0-9]{{1,7}}\b"), F.lit(0)), F.regexp_extract_all(text, F.lit(rf"\b{stem}[0-9]{{1,7}}{stem}[0-9]{{1,7}}\b"), F.lit(0))))
 
 

@@ -22,12 +22,13 @@ SKIPPED = (".ds_store", "thumbs.db", "desktop.ini")
 OLE_HEADER = "D0CF11E0A1B11AE1"
 # End of fixed values.
 
-SUPPORTED = ("TEXT", "OOXML", "PDF")
+SUPPORTED = ("TEXT", "OOXML")
 REASONS = {
     "OLD_OFFICE": "An old Office format: save it in the current one.",
     "MACRO_OFFICE": "A file with macros: save a copy without them.",
     "ODF": "OpenDocument is not supported: save it as an Office file.",
     "IMAGE": "Text in images is not read.",
+    "PDF": "PDF is not read here: there is no library for it.",
     "UNSUPPORTED": "This format is not supported.",
 }
 
@@ -87,12 +88,11 @@ def encoded(text: Column, encoding: Column) -> Column:
 
 
 def container_problem(name: Column, content: Column) -> Column:
-    """Why an Office or PDF file cannot be opened; empty if nothing speaks against it."""
+    """Why an Office file cannot be opened; empty if nothing speaks against it."""
     kind, head = classify(name), F.hex(F.substring(content, 1, 8))
     return (
         F.when((kind == "OOXML") & F.startswith(head, F.lit(OLE_HEADER)), "The file is protected by a password or in an old format.")
         .when((kind == "OOXML") & ~F.startswith(head, F.lit("504B")), "The file is damaged: it is no Office document.")
-        .when((kind == "PDF") & ~F.startswith(head, F.lit("25504446")), "The file is damaged: it is no PDF.")
         .when(F.length(content) > MAX_FILE, "The file is larger than 300 MB.")
         .otherwise("")
     )
@@ -142,6 +142,36 @@ def text_units(files: DataFrame) -> DataFrame:
 
 
 def mirror_names(files: DataFrame, numbers: DataFrame) -> DataFrame:
-    """files (path, name) with the neutral name of each: File7.txt; numbers (number, name) come from the vault."""
-    named = files.join(numbers.select(F.col("name").alias("__name"), "number"), F.col("name") == F.col("__name"))
+    """files (path, name) with the neutral name of each: File7.txt; numbers (number, name) come from the vault, by path."""
+    named = files.join(numbers.select(F.col("name").alias("__name"), "number"), F.col("path") == F.col("__name"))
     return named.withColumn("neutral", F.concat(F.lit("File"), F.col("number"), F.lit("."), extension(F.col("name")))).drop("__name", "number")
+
+
+def original_names(files: DataFrame, numbers: DataFrame) -> DataFrame:
+    """files (name) with original: the path that a neutral name stands for, also where a copy got a suffix; null if none."""
+    number = F.regexp_extract("name", r"(?i)^File([0-9]{1,9})(?:[ _(-].*)?\.[^.]+$", 1).try_cast("bigint")
+    return files.withColumn("__n", number).join(numbers.select(F.col("number").alias("__n"), F.col("name").alias("original")), "__n", "left").drop("__n")
+
+
+def free_names(files: DataFrame, name: str = "neutral") -> DataFrame:
+    """files with names made unique: name.txt, name (2).txt, in the order of their paths."""
+    place = F.row_number().over(Window.partitionBy(F.lower(name)).orderBy("path"))
+    ext = F.regexp_extract(name, r"(\.[^.]*)$", 1)
+    stem = F.left(F.col(name), F.length(name) - F.length(ext))
+    return files.withColumn("__n", place).withColumn(name, F.when(F.col("__n") > 1, F.concat(stem, F.lit(" ("), F.col("__n"), F.lit(")"), ext)).otherwise(F.col(name))).drop("__n")
+
+
+def peek(files: DataFrame, tokenised: DataFrame) -> DataFrame:
+    """path, format, problem, tokenised: whether each file can be taken, and whether it holds tokens already (tokenised: file)."""
+    found = tokenised.select(F.col("file").alias("path"), F.lit(True).alias("tokenised")).distinct()
+    problem = F.coalesce(unsupported_reason(F.col("format")), container_problem(F.col("name"), F.col("content")))
+    return files.select("path", "format", problem.alias("problem")).join(found, "path", "left").na.fill({"tokenised": False})
+
+
+def zipped(files: DataFrame, path: str) -> None:
+    """Writes files (neutral, content) into one ZIP on the driver, a file at a time: what a user takes home, not a data set."""
+    import zipfile
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for row in files.select("neutral", "content").orderBy("neutral").toLocalIterator():
+            z.writestr(row["neutral"], bytes(row["content"]))
