@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.lineage import settled
 
+#: Counts of partitions and groups that may be broadcast.
+MOST_BROADCAST = 200_000
+
 
 def numbered(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """rows with name: 1, 2, ... within each group, ascending by order (unique within its group).
@@ -22,4 +25,8 @@ def numbered(rows: DataFrame, group: str, order: str, name: str) -> DataFrame:
     dealt = dealt.withColumn("__place", F.row_number().over(Window.partitionBy("__part", group).orderBy(order)))
     sizes = dealt.groupBy("__part", group).agg(F.count("*").alias("__size"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.join(before.drop("__size"), ["__part", group]).withColumn(name, (F.col("__before") + F.col("__place")).cast("bigint")).drop("__part", "__place", "__before")
+    # null is a group as well
+    here = (F.col("__part") == F.col("__p")) & F.col(group).eqNullSafe(F.col("__g"))
+    before = F.broadcast(before) if before.count() <= MOST_BROADCAST else before
+    out = dealt.join(before.select(F.col("__part").alias("__p"), F.col(group).alias("__g"), "__before"), here)
+    return out.withColumn(name, (F.col("__before") + F.col("__place")).cast("bigint")).drop("__part", "__place", "__before", "__p", "__g")

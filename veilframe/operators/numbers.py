@@ -5,7 +5,9 @@ from __future__ import annotations
 from decimal import Decimal, InvalidOperation
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from ..plans.lineage import settled
 
 
 def canonical(text: str | None) -> str | None:
@@ -39,35 +41,53 @@ def should_replace(canon: Column) -> Column:
     return ~(whole & value.isNotNull() & ((F.abs(value) <= 12) | value.between(1900, 2100)))
 
 
-def candidate(canon: Column, key: str, attempt: Column | int) -> Column:
-    """A surrogate by a keyed hash: a factor of 0.55 to 1.85, whole for whole numbers, with more places for others."""
+def candidate(canon: Column, key: str, attempt: Column | int, turn: int = 0) -> Column:
+    """A surrogate by a keyed hash: a factor of 0.55 to 1.85, whole for whole numbers, with more places for others.
+
+    From the third turn on the factor grows, for numbers so dense that none is left beside them.
+    """
     tries = F.lit(attempt) if isinstance(attempt, int) else attempt
-    unit = F.pmod(F.xxhash64(F.lit(key), canon, tries), F.lit(10_000)) / F.lit(10_000.0)
+    unit = F.pmod(F.xxhash64(F.lit(key), canon, tries), F.lit(1_000_000_000)) / F.lit(1_000_000_000.0)
     value = canon.try_cast("decimal(38,12)")
-    factor = F.round(F.lit(0.55) + unit * F.lit(1.3), 4).cast("decimal(6,4)")
-    product = value * factor
+    wide = 4.0 ** max(0, turn - 1)
+    product = value * F.round((F.lit(0.55) + unit * F.lit(1.3)) * wide, 6).cast("decimal(20,6)")
     places = F.when(F.contains(canon, F.lit(".")), F.length(F.substring_index(canon, ".", -1))).otherwise(0)
     whole = F.round(product, 0).cast("decimal(38,0)")
-    odd = F.when((F.abs(whole) >= 100) & (whole % 10 == 0), whole + F.element_at(F.array(*map(F.lit, (-3, -1, 1, 3, 7))), (F.pmod(F.hash(canon, tries), F.lit(5)) + 1).cast("int"))).otherwise(whole)
+    # a round number would give itself away
+    odd = F.when((F.abs(whole) >= 100) & (whole % 10 == 0), whole + F.pmod(F.xxhash64(canon, tries), F.lit(9)).cast("int") + 1).otherwise(whole)
     extra = F.when(F.abs(value) < 100, 2).otherwise(1)
     scale = F.pow(F.lit(10.0), places + extra)
     fraction = F.format_string("%.9f", F.round(product.cast("double") * scale, 0) / scale)
     return canonical_number(F.when(places == 0, odd.cast("string")).otherwise(fraction))
 
 
-def surrogates(numbers: DataFrame, known: DataFrame, key: str, attempts: int = 8) -> DataFrame:
-    """known (original, surrogate) with surrogates for the new ones among numbers (original, canonical).
+#: Turns after which numbers are too dense to be hidden, and tries of a number in one turn.
+TURNS, TRIES = 14, 8
+
+
+def surrogates(numbers: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """known (original, surrogate) with surrogates for all new ones among numbers (original, canonical).
 
-    A surrogate differs from its original, from every original and from every other surrogate; of
-    several that would take one, the smallest original does, the others take their next attempt.
+    A surrogate differs from its original, from every original and from every other surrogate. In
+    each turn a number that has none tries a few; of several that want one the smallest original has it, and
+    only what is taken is reserved. The others go on in the next turn, until all have one.
     """
-    fresh = numbers.select("original").where("original IS NOT NULL").where(should_replace(F.col("original"))).distinct().join(known, "original", "left_anti")
-    tries = fresh.select("original", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))).alias("attempt"))
-    tries = tries.withColumn("surrogate", candidate(F.col("original"), key, F.col("attempt"))).where("surrogate IS NOT NULL AND surrogate != '0' AND surrogate != original").where(should_replace(F.col("surrogate")))
-    tries = tries.join(numbers.select(F.col("original").alias("surrogate")).distinct(), "surrogate", "left_anti").join(known.select("surrogate"), "surrogate", "left_anti")
-    owner = tries.withColumn("n", F.row_number().over(Window.partitionBy("surrogate").orderBy("attempt", "original"))).where("n = 1")
-    best = owner.groupBy("original").agg(F.min_by("surrogate", "attempt").alias("surrogate"))
-    return known.select("original", "surrogate").unionByName(best)
+    originals = settled(numbers.select("original").where("original IS NOT NULL").distinct())
+    have = known.select("original", "surrogate")
+    fresh = settled(originals.where(should_replace(F.col("original"))).join(have, "original", "left_anti"))
+    for turn in range(TURNS):
+        if fresh.limit(1).count() == 0:
+            return have
+        tries = fresh.select("original", F.explode(F.sequence(F.lit(turn * TRIES), F.lit((turn + 1) * TRIES - 1))).alias("attempt"))
+        tries = tries.withColumn("surrogate", candidate(F.col("original"), key, F.col("attempt"), turn)).where("surrogate IS NOT NULL AND surrogate != '0' AND surrogate != original").where(should_replace(F.col("surrogate")))
+        tries = tries.join(originals.select(F.col("original").alias("surrogate")), "surrogate", "left_anti").join(have.select("surrogate"), "surrogate", "left_anti")
+        owner = tries.groupBy("surrogate").agg(F.min(F.struct("attempt", "original")).alias("o")).select("surrogate", "o.attempt", "o.original")
+        taken = settled(owner.groupBy("original").agg(F.min_by("surrogate", "attempt").alias("surrogate")))
+        have = have.unionByName(taken)
+        fresh = settled(fresh.join(taken, "original", "left_anti"))
+    if (left := fresh.count()) > 0:
+        raise ValueError(f"{left} numbers have no surrogate: they are too dense")
+    return have
 
 
 def apply_numbers(cells: DataFrame, mapping: DataFrame, column: str) -> DataFrame:

@@ -30,15 +30,16 @@ class Vault:
         return Vault(*(spark.createDataFrame([], s) for s in (ENTITIES, SPELLINGS, COUNTERS)))
 
 
-def issue(vault: Vault, mentions: DataFrame, order: list[str], now: Column | None = None) -> tuple[Vault, DataFrame]:
+def issue(vault: Vault, mentions: DataFrame, order: list[str], now: Column | float) -> tuple[Vault, DataFrame]:
     """The next vault, and mentions with base, variant and token.
 
     mentions has category, key, original; order are columns whose values place each mention (first
     the file, then the unit, then the start). New entities are numbered within their stem, new
     spellings within their entity, by first appearance. What is numbered are distinct entities and
-    spellings, never mentions. The spelling of a secret is never stored.
+    spellings, never mentions. The spelling of a secret is never stored. now (seconds) is when they
+    were used: what purge() goes by.
     """
-    now = F.lit(0.0) if now is None else now
+    now = F.lit(float(now)) if isinstance(now, (int, float)) else now
     rows = mentions.withColumn("kind", kind_of(F.col("category"))).withColumn("__at", F.struct(*order))
     seen = rows.groupBy("kind", "key", F.when(F.col("kind") != "SECRET", F.col("original")).alias("spelling")).agg(F.min("__at").alias("at"))
     met = seen.groupBy("kind", "key").agg(F.min("at").alias("at")).withColumn("stem", stem_of(F.col("kind")))
@@ -73,6 +74,19 @@ def lookup(vault: Vault, tokens: DataFrame) -> DataFrame:
     return rows.withColumn("original", F.when(F.col("status") == "ok", F.col("spelling")).when(F.col("status") == "variant_missing", F.col("__first"))).drop("secret", "__first", "spelling")
 
 
+def touched(vault: Vault, tokens: DataFrame, now: Column | float) -> Vault:
+    """The vault with the entities of tokens (base) used now: looking one up keeps it from being purged."""
+    now = F.lit(float(now)) if isinstance(now, (int, float)) else now
+    met = tokens.select("base").distinct().withColumn("__met", F.lit(True))
+    rows = vault.entities.join(met, "base", "left").withColumn("used", F.when(F.col("__met"), F.greatest("used", now)).otherwise(F.col("used")))
+    return Vault(rows.select(vault.entities.columns), vault.spellings, vault.counters)
+
+
+def cleared(vault: Vault) -> Vault:
+    """An empty vault: numbering starts anew, so it needs an id of its own (VaultStore.clear gives one)."""
+    return Vault(*(t.limit(0) for t in (vault.entities, vault.spellings, vault.counters)))
+
+
 def purge(vault: Vault, now: Column, days: int) -> Vault:
     """Without what was not used for so many days. Counters stay, so numbers are never given again."""
     if days <= 0:

@@ -15,21 +15,32 @@ def kind_counts(tokens: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by, "group").agg(F.count("*").alias("replaced"), F.count_distinct(base_of(F.col("token"))).alias("entities"))
 
 
+def whole(text: Column, value: Column) -> Column:
+    """Whether a value stands in a text with no letter, digit or underscore on either side."""
+    quoted = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    return F.contains(text, value) & F.call_function("rlike", text, quoted)
+
+
 def residual_values(units: DataFrame, originals: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Originals that still stand in the rewritten units as whole words: keys, original.
 
-    Single words meet by an equi-join with the words of the text. Longer originals meet on their
-    first word and are confirmed by a search, so no original is compared with every text.
+    Originals and texts meet on the first word of the original, without the text; only the units that
+    hold that word are fetched and searched. So no original is compared with every text, and a text
+    is not copied for each of its words.
     """
-    first = F.regexp_extract(F.col("original"), WORD, 0)
-    values = originals.select("original").where("original IS NOT NULL").distinct().withColumn("__first", first).where("__first != ''")
-    words = units.select(*keys, F.col(text).alias("__text"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))).alias("__first"))
-    rows = words.join(values, "__first")
-    edge = lambda c: c.rlike(r"(?U)^\w$")
-    at = F.instr(F.col("__text"), F.col("original"))
-    bare = (at > 0) & ~(edge(F.substr("__text", at - 1, F.lit(1))) & (at > 1)) & ~edge(F.substr("__text", at + F.length("original"), F.lit(1)))
-    later = F.exists(F.slice(F.split(F.col("__text"), F.concat(F.lit(r"\Q"), F.col("original"), F.lit(r"\E"))), 2, 1_000_000), lambda x: ~x.rlike(r"(?U)^\w"))
-    return rows.where((at > 0) & (bare | later)).select(*keys, "original").distinct()
+    first = lambda c: F.regexp_extract(c, WORD, 0)
+    values = originals.select("original").where("original IS NOT NULL AND original != ''").distinct().withColumn("__first", first(F.col("original")))
+    words = units.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)))).alias("__first"))
+    hits = words.join(values.where("__first != ''"), "__first").select(*keys, "original")
+    # an original that has no word at all is searched for in every text; there are few such
+    rest = values.where("__first = ''").select("original")
+    body = units.select(*keys, F.col(text).alias("__text"))
+    found = hits.join(body, keys).where(whole(F.col("__text"), F.col("original"))).select(*keys, "original")
+    marks = [r["original"] for r in rest.limit(1000).collect()]
+    if marks:
+        more = body.select(*keys, "__text", F.explode(F.array(*map(F.lit, marks))).alias("original")).where(F.contains("__text", F.col("original")))
+        found = found.unionByName(more.select(*keys, "original"))
+    return found.distinct()
 
 
 def word_difference(before: DataFrame, after: DataFrame, text: str = "text") -> DataFrame:
