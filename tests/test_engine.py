@@ -11,7 +11,7 @@ from veilframe.operators.restore import broken_tokens, resolved_tokens, restore_
 from veilframe.operators.rules import FINDING
 from veilframe.operators.splice import spliced
 from veilframe.operators.vault import Vault, issue, lookup, merged, purge
-from veilframe.plans.engine import Settings, pseudonymize, restored
+from veilframe.plans.engine import Settings, findings_of, pseudonymize, restored
 from veilframe.sources import files, ooxml
 from veilframe.sources.store import VaultStore
 
@@ -58,7 +58,7 @@ def test_resolution_splits_containers(spark):
     text = "0123456789abcdefghij"
     rows = [("ADDRESS", 0, 20, text, "AUTO", 0.9, "", 700, 0), ("PHONE", 5, 9, text[5:9], "AUTO", 0.9, "", 800, 1), ("PHONE", 7, 12, text[7:12], "AUTO", 0.9, "", 800, 2), ("PHONE", 12, 14, "cd", "AUTO", 0.9, "", 900, 3)]
     df = spark.createDataFrame([(text, rows)], f"t string, c array<{FINDING}>")
-    got = [(f.category, f.start, f.end, f.original) for f in df.select(resolved(F.col("c"), F.col("t"))).first()[0]]
+    got = [(f.category, f.start, f.end, f.original) for f in df.select(resolved(F.col("c"))).first()[0]]
     # the longer phone comes first; the fragment [14, 20) and [0, 7) of the address stay hidden
     assert got == [("ADDRESS", 0, 7, "0123456"), ("PHONE", 7, 12, "789ab"), ("PHONE", 12, 14, "cd"), ("ADDRESS", 14, 20, "efghij")]
 
@@ -71,17 +71,17 @@ def test_splice_guards_tokens(spark):
 def test_vault_numbers_and_lookup(spark):
     rows = [(1, "PERSON", "a", "Анна"), (2, "ORG", "o", "О"), (3, "PERSON", "b", "Борис"), (4, "PERSON", "a", "Анне"), (5, "SECRET", "s", "x"), (6, "INN_ORG", "7", "7"), (7, "INN_PERSON", "7", "7 ")]
     df = spark.createDataFrame(rows, "at int, category string, key string, original string")
-    vault, out = issue(Vault.empty(spark), df, ["at"])
+    vault, out = issue(Vault.empty(spark), df, ["at"], 0.0)
     assert [r.token for r in out.orderBy("at").collect()] == ["Name1", "Company1", "Name2", "Name1_2", "Secret1", "Inn1", "Inn1_2"]
     assert vault.spellings.where("spelling = 'x'").count() == 0
     asked = spark.createDataFrame([("Name1", 2), ("Name1", 9), ("Name9", 1), ("Secret1", 1)], "base string, variant int")
     assert {(r.base, r.variant): (r.status, r.original) for r in lookup(vault, asked).collect()} == {("Name1", 2): ("ok", "Анне"), ("Name1", 9): ("variant_missing", "Анна"), ("Name9", 1): ("unknown", None), ("Secret1", 1): ("removed", None)}
     old = purge(vault, F.lit(1e9), 1)
     assert old.entities.count() == 0
-    _, later = issue(old, df.where("at = 1"), ["at"])
+    _, later = issue(old, df.where("at = 1"), ["at"], 0.0)
     assert later.first().token == "Name3"
     assert merged(vault, vault).spellings.count() == vault.spellings.count()
-    other, _ = issue(Vault.empty(spark), df.where("at = 3"), ["at"])
+    other, _ = issue(Vault.empty(spark), df.where("at = 3"), ["at"], 0.0)
     with pytest.raises(ValueError):
         merged(vault, other)
 
@@ -109,36 +109,83 @@ def test_numbers(spark):
     assert [r[0] for r in df.select(numbers.canonical_number(F.col("v"))).collect()] == ["1200", "1200", "1200", "0", "7", None, None]
     df = spark.createDataFrame([("7",), ("12",), ("2026",), ("13",), ("120",), ("0.14",)], "v string")
     assert [r[0] for r in df.select(numbers.should_replace(F.col("v"))).collect()] == [False, False, False, True, True, True]
-    many = spark.range(13, 900).select(F.col("id").cast("string").alias("original"))
+    many = spark.range(13, 400).select(F.col("id").cast("string").alias("original"))
     m = numbers.surrogates(many, spark.createDataFrame([], "original string, surrogate string"), "k").toPandas()
-    assert m.surrogate.is_unique and not set(m.surrogate) & {str(i) for i in range(13, 900)}
-    ratio = m.surrogate.astype(float) / m.original.astype(float)
-    assert ratio.between(0.3, 2.6).all()
+    assert set(m.original) == {str(i) for i in range(13, 400)} and m.surrogate.is_unique and not set(m.surrogate) & set(m.original)
+    few = spark.createDataFrame([("1234.5",), ("-88",), ("70001",)], "original string")
+    m = numbers.surrogates(few, spark.createDataFrame([], "original string, surrogate string"), "k").toPandas()
+    assert (m.surrogate.astype(float) / m.original.astype(float)).between(0.5, 1.9).all()
 
 
 def test_verification(spark):
     after = spark.createDataFrame([(1, "Name1 met Anna Lee, annals"), (2, "firma.ru")], "u int, text string")
     originals = spark.createDataFrame([("Anna Lee",), ("Anna L",), ("firma",)], "original string")
     assert {tuple(r) for r in verify.residual_values(after, originals, ["u"]).collect()} == {(1, "Anna Lee"), (2, "firma")}
+    edges = spark.createDataFrame([(1, "Anna Leek; xAnna Lee."), (2, "xAnna Lee, Anna Lee.")], "u int, text string")
+    assert [r.u for r in verify.residual_values(edges, originals, ["u"]).collect()] == [2]
     a, b = spark.createDataFrame([("x y y",)], "text string"), spark.createDataFrame([("x y z",)], "text string")
     assert {tuple(r) for r in verify.word_difference(a, b).collect()} == {("y", 1, 0), ("z", 0, 1)}
 
 
 def test_people(spark):
-    df = spark.createDataFrame([(1, "Утвердил Иванов Пётр Сергеевич."), (2, "Передать Иванову П.С. и Ивановым."), (3, "Сидоров А.Б. и П. С. Иванов"), (4, "Иванав пришёл"), (5, None)], "u int, text string")
-    known = people.learn(df, ["u"])
+    df = spark.createDataFrame([(1, "Утвердил Иванов Пётр Сергеевич."), (2, "Передать Иванову П.С. и Ивановым."), (3, "Сидоров А.Б. и П. С. Иванов"), (4, "Иваниов пришёл"), (5, None), (6, "Ольга Ивановна и Excel Word")], "u int, text string")
+    named = people.mentions(df, ["u"])
+    known = people.learn(named)
     assert {(r.surname, r.given, r.patronymic) for r in known.collect()} == {("Иванов", "Пётр", "Сергеевич"), ("Сидоров", None, None)}
-    found = {(r.u, r.original): r.decision for r in people.find(df, known, ["u"]).collect()}
-    assert {(1, "Иванов Пётр Сергеевич"), (2, "Иванову П.С."), (3, "П. С. Иванов")} <= set(found)
-    assert [r.original for r in people.misspelt(df, known, ["u"], least=0.8).collect()] == ["Иванав"]
+    found = {(r.u, r.start): (r.end, r.decision, r.category) for r in people.findings(named, known, ["u"]).collect()}
+    assert found[(1, 9)] == (30, "AUTO", "PERSON") and found[(2, 9)][0] == 21 and found[(3, 15)][0] == 27 and found[(6, 0)] == (14, "AUTO", "PERSON") and (6, 17) not in found
+    assert [(r.u, r.confidence >= 0.85) for r in people.misspelt(named, known, ["u"]).collect()] == [(4, True)]
+
+
+def test_namesakes_are_for_review(spark):
+    df = spark.createDataFrame([(1, "Кулешова Анна Андреевна. Кулешова Алиса Артёмовна."), (2, "Кулешова А.А. подписала")], "u int, text string")
+    found = [r for r in findings_of(df, ["u"]).collect() if r.u == 2]
+    assert [(r.decision, len(r.candidates)) for r in found] == [("REVIEW", 2)]
+    hidden = {r.u: r.text for r in pseudonymize(df, Vault.empty(spark), ["u"]).units.collect()}
+    assert hidden == {1: "Name1. Name2.", 2: "Name3 подписала"}
+
+
+def test_names_companies_and_places_are_hidden(spark):
+    df = spark.createDataFrame([(1, "Утвердил Иванов Пётр Сергеевич, ООО «Ромашка Плюс», г. Тверь, ivan@firma.ru"), (2, "Иванову П.С. в Ромашка Плюс, из Твери, сайт firma.ru/x"), (3, "иванов пётр сергеевич")], "u int, text string")
+    done = pseudonymize(df, Vault.empty(spark), ["u"])
+    got = {r.u: r.text for r in done.units.collect()}
+    assert got == {1: "Утвердил Name1, ООО «Company1», г. City1, email1@example.com", 2: "Name1_2 в Company1, из City1_2, сайт Domain1", 3: "Name1_3"}
+    assert {r.u: r.text for r in restored(done.units, done.vault, ["u"]).collect()} == {r.u: r.text for r in df.collect()}
+    again = pseudonymize(done.units, done.vault, ["u"])
+    assert {r.u: r.text for r in again.units.collect()} == got
+
+
+def test_settings(spark):
+    df = spark.createDataFrame([(1, "Тайфун и тайфун, Договор подписал Ким"), (2, "12.03.1985"), (3, "дата рождения ниже, АБВГД рядом")], "u int, text string")
+    hidden = {r.u: r.text for r in pseudonymize(df, Vault.empty(spark), ["u"], settings=Settings(hide=("тайфун",))).units.collect()}
+    assert hidden[1].startswith("Term1 и Term1_2") and hidden[2] == "12.03.1985"
+    one = df.withColumn("f", F.lit("x"))
+    found = findings_of(one, ["f", "u"], settings=Settings(file="f"))
+    assert {(r.u, r.category, r.decision) for r in found.collect() if r.u == 2} == {(2, "BIRTH_DATE", "REVIEW")}
+    strict = findings_of(one, ["f", "u"], settings=Settings(file="f", strict=True)).collect()
+    assert {r.decision for r in strict} == {"AUTO"} and {"POSSIBLE_ENTITY"} <= {r.category for r in strict if r.u == 3}
+
+
+def test_rules_in_both_engines(spark):
+    """One pass of Python and the functions of Spark find the same."""
+    from test_functions import TEXTS
+
+    from veilframe.functions.patterns import RULES
+    from veilframe.operators.rules import detect, rule_findings
+
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "u int, text string")
+    mine = {(r.u, r.reason, r.start, r.end, r.category) for r in detect(df, ["u"], rules=RULES, literals=False).collect()}
+    lists = df.select("u", F.explode(F.concat(*(rule_findings(F.col("text"), r, i) for i, r in enumerate(RULES)))).alias("f"))
+    assert mine == {(r.u, r.f.reason, r.f.start, r.f.end, r.f.category) for r in lists.collect()} and len(mine) > 30
 
 
 def test_entities(spark):
-    df = spark.createDataFrame([(1, "ООО «Ромашка Плюс» и г. Тверь"), (2, "Звонили в Ромашка Плюс, потом из Твери и Тверь"), (3, "see mayak.ru, a@mayak.ru, mail.ru"), (4, None)], "u int, text string")
+    df = spark.createDataFrame([(1, "ООО «Ромашка Плюс» и г. Тверь"), (2, "Звонили в Ромашка Плюс, потом из Твери и Тверь"), (3, "see mayak.ru, a@mayak.ru, mail.ru"), (4, None), (5, "Технологии Контроля Региона (ТеКоР), письмо «0.00» и «Всё будет хорошо.»")], "u int, text string")
     found = entities.explicit(df, ["u"])
-    assert {(r.kind, r.original) for r in found.collect()} == {("ORG", "Ромашка Плюс"), ("CITY", "Тверь")}
+    assert {(r.category, r.original) for r in found.collect()} == {("ORG", "Ромашка Плюс"), ("CITY", "Тверь"), ("ORG", "Технологии Контроля Региона"), ("ORG", "ТеКоР")}
+    assert len({r.key for r in found.collect() if r.u == 5}) == 1
     again = entities.known(df, entities.register(found), ["u"])
-    assert {(r.u, r.original) for r in again.collect()} == {(1, "Ромашка Плюс"), (1, "Тверь"), (2, "Ромашка Плюс"), (2, "Тверь")}
+    assert {(r.u, r.original) for r in again.collect() if r.u < 5} == {(1, "Ромашка Плюс"), (1, "Тверь"), (2, "Ромашка Плюс"), (2, "Тверь"), (2, "Твери")}
     assert {r.domain for r in entities.domains(df, ["u"]).collect()} == {"mayak.ru"} == {r.domain for r in entities.mail_domains(df, ["u"]).collect()}
 
 

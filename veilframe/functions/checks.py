@@ -64,6 +64,24 @@ def not_thousands(value: Column) -> Column:
     return ~F.trim(value).rlike(r"^\+\d{1,3}(?: \d{3}){2,}$")
 
 
+def luhn_ok(value: str) -> bool:
+    """luhn() of one value in Python."""
+    d = [int(c) for c in value if c.isdigit()]
+    return 13 <= len(d) <= 19 and sum(d[-1::-2]) % 10 == -sum(sum(divmod(2 * x, 10)) for x in d[-2::-2]) % 10
+
+
+def snils_ok(value: str) -> bool:
+    d = [int(c) for c in value if c.isdigit()]
+    if len(d) != 11 or len(set(d[:9])) == 1:
+        return False
+    return sum(x * w for x, w in zip(d, range(9, 0, -1), strict=False)) % 101 % 100 == 10 * d[9] + d[10]
+
+
+def iban_ok(value: str) -> bool:
+    v = "".join(value.split()).upper()
+    return 15 <= len(v) <= 34 and v.isalnum() and v.isascii() and int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+
+
 VALIDATORS = {"snils": snils, "inn": inn, "luhn": luhn, "ogrn": ogrn, "iban": iban, "account": account, "not_thousands": not_thousands}
 
 

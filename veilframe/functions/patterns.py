@@ -80,6 +80,8 @@ BIRTH_CONTEXT = r"(?i)дат\w*\s*рождени|год\s+рождения|\bд\
 PRIORITY = {"SECRET": 1000, "EMAIL": 960, "PERSON": 900, "POSSIBLE_PERSON": 500, "ADDRESS": 700, "BUSINESS": 700}
 DEFAULT_PRIORITY = 800
 LITERAL_PRIORITY = 100
+#: What the user wants hidden goes before everything.
+HIDE_PRIORITY = 1100
 #: Categories that are split around what is found inside them.
 CONTAINERS = ("ADDRESS", "BUSINESS")
 #: The shortest fragment of a container that is still hidden.

@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.lexicon import DEFAULT, Lexicon, folded
 from ..functions.matches import matches
+from ..functions.morphology import GIVEN_PARADIGMS, declined
+from ..functions.scan import read
+from ..functions.signs import PUBLIC_DOMAINS, SignReader, entity_key as key_of
 from ..functions.text import fold
 
-LEGAL = r"(?:ООО|ОАО|ЗАО|ПАО|НАО|АО|ГК|ФГУП|МУП|ГУП|АНО|НКО|ТОО|ИП)"
-LATIN_LEGAL = r"(?:LLC|Ltd|Inc|GmbH|AG|Corp|PLC|S\.A\.|B\.V\.|Co)"
-_CAP = r"[A-ZА-ЯЁ][\w&-]*"
-#: Pattern, kind and priority of each sure sign; the name is group 1, which ends the match or is cut out of it.
-SIGNS = (
-    ("quoted", "ORG", 950, rf"(?U)(?<![\w-]){LEGAL}\.? *[«\"“]([^«»\"“”\n]{{1,80}}?)[»\"”]"),
-    ("bare", "ORG", 950, rf"(?U)(?<![\w-]){LEGAL} +({_CAP}(?: +{_CAP}){{0,2}})"),
-    ("trailing", "ORG", 950, rf"(?U)(?<![\w-])({_CAP}) +(?:ООО|АО|ЗАО|ПАО|ОАО)(?![\w])(?! *[«\"A-ZА-ЯЁ0-9])"),
-    ("latin", "ORG", 950, rf"(?U)(?<![\w-])([A-Z][\w&-]*(?: +[A-Z][\w&-]*){{0,2}}),? +{LATIN_LEGAL}(?![\w])"),
-    ("project", "PROJECT", 950, rf"(?U)(?<![\w])(?i:проект\w*|программ\w+|project)\s*[:—–-]?\s+[«\"“]([^«»\"“”\n]{{2,70}}?)[»\"”]"),
-    ("city", "CITY", 690, r"(?U)(?<![\w.])(?:г\. ?|гор\. ?|город(?:а|е|у|ом)? +|пос\. ?)([А-ЯЁ][а-яё]+(?:-[А-ЯЁа-яё]+){0,3})"),
-    ("region", "REGION", 690, r"(?U)(?<![\w])([А-ЯЁ][а-яё]+(?:ская|ской|скую|ский|ского|ском)) +(?:обл\b\.?|област\w+|кра[йяюе]м?|район\w?|округ\w?)"),
-    ("republic", "REGION", 690, r"(?U)(?<![\w])Республик[аиуе] +([А-ЯЁ][а-яё]+)"),
-)
-DOMAIN = r"(?i)(?<![\w@.-])(?:https?://)?(?:www\.)?((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+(?:ru|su|com|net|org|info|biz|eu|de|uk|kz|by|ua|us|io|ai|dev))(?![\w-])"
 MAIL_DOMAIN = r"@([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9-]+)+)"
-#: Domains that many share: they name nobody.
-PUBLIC_DOMAINS = ("example.com", "example.net", "example.org", "gmail.com", "mail.ru", "yandex.ru", "ya.ru", "bk.ru", "list.ru", "inbox.ru", "rambler.ru", "outlook.com", "hotmail.com", "yahoo.com", "icloud.com", "proton.me")
-FILE_NAME = r"(?iU)(?<![\w/\\])([\w«»()№ .-]{2,80}?)\.(?:docx?|xlsx?|pptx?|pdf|csv|txt|zip)(?![\w])"
+#: Categories whose names are looked for wherever they stand, with the priority of such a hit.
+LEARNT = {"ORG": 940, "PROJECT": 940, "CITY": 680, "REGION": 680, "COUNTRY": 650, "TERM": 660}
 
 
 def entity_key(name: Column) -> Column:
@@ -33,28 +25,10 @@ def entity_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(fold(name), r"[«»\"“”„'‘’.,;:()]", " "), r"(?U)\s+", " "))
 
 
-def _located(text: Column, pattern: str) -> Column:
-    """array<struct<start,end,value>> of group 1 of a pattern, wherever it stands in the match."""
-    whole = matches(text, pattern)
-    def cut(m: Column) -> Column:
-        name = F.regexp_extract(m["value"], pattern, 1)
-        at = m["start"] + F.instr(m["value"], name) - 1
-        return F.struct(at.alias("start"), (at + F.length(name)).alias("end"), name.alias("value"))
-
-    # A match cut out of its text may not match again where the pattern looks around itself; those are left out.
-    return F.filter(F.transform(whole, cut), lambda m: m["value"] != "")
-
-
-def explicit(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, start, end, original, kind, key, priority, reason of what a sign beside it tells."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    def told(name: str, kind: str, priority: int, pattern: str) -> Column:
-        row = lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("original"), F.lit(kind).alias("kind"), F.lit(priority).alias("priority"), F.lit(name).alias("reason"))
-        return F.transform(_located(body, pattern), row)
-
-    rows = [told(*sign) for sign in SIGNS]
-    out = units.select(*keys, F.explode(F.concat(*rows)).alias("e")).select(*keys, "e.*")
-    return out.withColumn("key", entity_key(F.col("original"))).where("length(key) > 1")
+def explicit(units: DataFrame, keys: list[str], text: str = "text", kinds: tuple[str, ...] = ("ORG", "PROJECT", "CITY", "REGION"), lexicon: Lexicon = DEFAULT, places: tuple[str, ...] = (), countries: tuple[str, ...] = ()) -> DataFrame:
+    """keys, start, end, original, category, key, priority, reason of what a sign beside it tells."""
+    rows = read(units, keys, text, None, SignReader(lexicon, frozenset(kinds), places, countries), None)
+    return rows.select(*keys, F.explode("signs").alias("__f")).select(*keys, "__f.*")
 
 
 def root_domain(domain: Column) -> Column:
@@ -69,61 +43,98 @@ def mail_domains(units: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 
 def domains(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Sites in texts, shared ones left out: keys, start, end, original, domain."""
-    found = units.select(*keys, F.explode(_located(F.coalesce(F.col(text), F.lit("")), DOMAIN)).alias("m")).select(*keys, "m.start", "m.end", F.col("m.value").alias("original"))
-    return found.withColumn("domain", root_domain(F.col("original"))).where(~F.col("domain").isin(*PUBLIC_DOMAINS))
+    """Sites in texts with their paths, shared ones left out: keys, start, end, original, domain."""
+    return explicit(units, keys, text, ("DOMAIN",)).select(*keys, "start", "end", "original", F.col("key").alias("domain"))
 
 
 def file_names(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    return units.select(*keys, F.explode(_located(F.coalesce(F.col(text), F.lit("")), FILE_NAME)).alias("m")).select(*keys, F.col("m.start"), F.col("m.end"), F.trim("m.value").alias("original"))
+    return explicit(units, keys, text, ("FILE",)).select(*keys, "start", "end", "original", "key")
+
+
+def _forms(names: pd.Series, categories: pd.Series) -> pd.Series:
+    def one(name: str, category: str) -> list[str]:
+        words = key_of(name).split()
+        out = {" ".join(words)}
+        if len(words) == 1 and not name.isascii() and (category in ("CITY", "REGION", "COUNTRY") or len(name) > 3 and not name.isupper()):
+            out |= {folded(f) for f in declined(name, GIVEN_PARADIGMS)}
+        if category == "CITY" and "-" in name:
+            out |= {folded(f) for f in declined(name, GIVEN_PARADIGMS)}
+        return sorted(x for x in out if len(x) > 1)
 
+    return pd.Series([one(n, c) for n, c in zip(names, categories, strict=True)])
 
-def register(found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The entities of explicit(): kind, key, first (a word of the key to join on), n_words, ordinary.
 
-    A name that is also written in lower case is ordinary: it is found in its own case only.
+def register(found: DataFrame, keep: tuple[str, ...] = (), seeds: DataFrame | None = None) -> DataFrame:
+    """category, key, form, first (its first word): every form under which the entities of explicit() may be met.
+
+    seeds (category, key, original) are entities of earlier documents or of workbook columns. A key
+    that is a case form of another one's name becomes that one (canonical).
     """
-    rows = found.groupBy("kind", "key").agg(F.min("original").alias("name"), F.count("*").alias("mentions"))
+    rows = found.where(F.col("category").isin(*LEARNT)).where("decision = 'AUTO'").select("category", "key", "original").distinct()
+    rows = rows.unionByName(seeds.select("category", "key", "original")).distinct() if seeds is not None else rows
     if keep:
-        rows = rows.where(~F.col("key").isin(*keep))
-    return rows.withColumn("first", F.split("key", " ")[0]).withColumn("n_words", F.size(F.split("key", " ")))
+        rows = rows.where(~F.col("key").isin(*(key_of(k) for k in keep)))
+    forms = rows.select("category", "key", F.explode(F.pandas_udf(_forms, "array<string>")("original", "category")).alias("form"))
+    own = rows.select("category", "key", F.col("key").alias("form"))
+    forms = forms.unionByName(own).distinct()
+    # an organisation goes before a place of the same name
+    order = F.create_map(*(F.lit(x) for kv in LEARNT.items() for x in kv))
+    best = forms.groupBy("form").agg(F.max_by(F.struct("category", "key"), F.struct(order[F.col("category")], -F.length("key"), "key")).alias("b"))
+    return best.select("b.category", "b.key", "form", F.split("form", " ")[0].alias("first"))
+
 
+def canonical(found: DataFrame, forms: DataFrame) -> DataFrame:
+    """found with the key under which its name is registered."""
+    names = forms.select(F.col("form").alias("__form"), F.col("category").alias("__c"), F.col("key").alias("__key"))
+    out = found.join(names, (F.col("key") == F.col("__form")) & (F.col("category") == F.col("__c")), "left")
+    return out.withColumn("key", F.coalesce("__key", "key")).drop("__form", "__c", "__key")
 
-def known(units: DataFrame, entities: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Every whole-word occurrence of a known name: keys, start, end, original, kind, key; of several at one place the longest.
 
-    Texts and names meet on the first word of the name (an equi-join), then the words that follow are
-    compared, so the work grows with the occurrences of first words and not with texts times names.
+@lru_cache(maxsize=256)
+def _pattern(forms: tuple[str, ...]) -> re.Pattern:
+    one = lambda f: r"[\s«»\"“”„]+".join(re.escape(w).replace("е", "[её]") for w in f.split())
+    return re.compile(rf"(?i)(?<![\w-])(?:{'|'.join(one(f) for f in forms)})(?![\w])")
+
+
+def _located(texts: pd.Series, names: pd.Series) -> pd.Series:
+    def one(text: str, known) -> list[dict]:
+        by = {k["form"]: k for k in known}
+        out = []
+        for m in _pattern(tuple(sorted(by, key=lambda f: (-len(f), f)))).finditer(text):
+            # an ordinary word is a name only where it is written like one
+            if (m[0][0].isupper() or m[0][0].isdigit()) and (k := by.get(key_of(m[0]))):
+                out.append({"start": m.start(), "end": m.end(), "original": m[0], "context": text[max(0, m.start() - 90) : m.end() + 90].replace("\n", " "), "category": k["category"], "key": k["key"]})
+        return out
+
+    return pd.Series([one(t, k) for t, k in zip(texts, names, strict=True)])
+
+
+HIT = "array<struct<start:int,end:int,original:string,context:string,category:string,key:string>>"
+
+
+def known(units: DataFrame, forms: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Every whole-word occurrence of a known name: keys, start, end, original, context, category, key; of several at one place the longest.
+
+    Texts and names meet on the first word of the name, without the text; only the texts that hold such
+    a word are fetched and searched for the names that begin with it.
     """
-    word = r"(?U)[\w&-]+"
-    rows = units.select(*keys, F.col(text).alias("__t"), matches(F.coalesce(F.col(text), F.lit("")), word).alias("ws"))
-    at = rows.select(*keys, "__t", "ws", F.posexplode("ws").alias("i", "w")).withColumn("first", fold(F.col("w.value")))
-    hit = at.join(entities.select("kind", "key", "first", "n_words"), "first")
-    span = F.slice("ws", F.col("i") + 1, F.col("n_words"))
-    phrase = F.array_join(F.transform(span, lambda x: fold(x["value"])), " ")
-    proper = F.col("w.value").rlike("^[A-ZА-ЯЁ0-9]")
-    hit = hit.where((phrase == F.col("key")) & proper).withColumn("end", F.element_at(span, -1)["end"])
-    best = hit.groupBy(*keys, F.col("w.start").alias("start")).agg(F.max_by(F.struct("end", "kind", "key", "__t"), F.struct("n_words", "kind", "key")).alias("b"))
-    return best.select(*keys, "start", F.col("b.end").alias("end"), F.substr("b.__t", F.col("start") + 1, F.col("b.end") - F.col("start")).alias("original"), F.col("b.kind").alias("kind"), F.col("b.key").alias("key"))
-
-
-def aliases(units: DataFrame, text: str = "text") -> DataFrame:
-    """full, abbreviation: a name and what stands for it in brackets, which becomes the same entity."""
-    pattern = rf"(?U)({_CAP}(?: +{_CAP}){{1,4}}) *\(([A-ZА-ЯЁ][\w-]{{1,11}})\)"
-    pair = F.explode(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("full"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("abbreviation"))).alias("p")
-    return units.select(pair).select(entity_key(F.col("p.full")).alias("full"), entity_key(F.col("p.abbreviation")).alias("abbreviation")).distinct()
-
-
-def suggested(units: DataFrame, entities: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    capitals = F.regexp_extract_all(F.col(text), F.lit(r"(?U)(?<![\w&])[\p{Lu}\d][\w&-]*"), F.lit(0))
+    words = units.select(*keys, F.explode(F.array_distinct(F.transform(capitals, fold))).alias("first"))
+    names = words.join(forms, "first").groupBy(*keys).agg(F.collect_set(F.struct("form", "category", "key")).alias("__names"))
+    rows = units.select(*keys, F.col(text).alias("__t")).join(names, keys)
+    return rows.select(*keys, F.explode(F.pandas_udf(_located, HIT)("__t", "__names")).alias("__f")).select(*keys, "__f.*")
+
+
+def suggested(units: DataFrame, forms: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """Runs of Latin capitalised words and acronyms that no entity explains: for review."""
     pattern = r"(?U)(?<![\w-])(?:[A-Z][a-z]+(?: [A-Z][a-z]+){1,2}|[A-ZА-ЯЁ]{3,8})(?![\w-])"
     rows = units.select(*keys, F.explode(matches(F.coalesce(F.col(text), F.lit("")), pattern)).alias("m")).select(*keys, "m.start", "m.end", F.col("m.value").alias("original"))
     rows = rows.withColumn("key", entity_key(F.col("original")))
-    return rows.join(entities.select("key").distinct(), "key", "left_anti").withColumns({"category": F.lit("POSSIBLE_ENTITY"), "decision": F.lit("REVIEW"), "confidence": F.lit(0.5)})
+    return rows.join(forms.select(F.col("form").alias("key")).distinct(), "key", "left_anti").withColumns({"category": F.lit("POSSIBLE_ENTITY"), "decision": F.lit("REVIEW"), "confidence": F.lit(0.5)})
 
 
 def repeated_unknown(units: DataFrame, ordinary: DataFrame, text: str = "text", least: int = 2) -> DataFrame:
-    """Capitalised words that are never written in lower case and stand at least twice: word, n."""
+    """Capitalised words that are never written in lower case and stand at least twice: key, n."""
     words = units.select(F.explode(F.regexp_extract_all(text, F.lit(r"(?U)[\w-]{4,}"), F.lit(0))).alias("word"))
     tally = words.groupBy(fold(F.col("word")).alias("key")).agg(F.count_if(F.col("word").rlike("^[A-ZА-ЯЁ]")).alias("n"), F.count_if(~F.col("word").rlike("^[A-ZА-ЯЁ]")).alias("low"))
     return tally.where((F.col("n") >= least) & (F.col("low") == 0)).join(ordinary.select("key"), "key", "left_anti").select("key", "n")

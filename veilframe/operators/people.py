@@ -1,72 +1,76 @@
-"""People without a dictionary: learn full names anywhere, then find their shorter forms everywhere.
+"""People: learn them where the texts name them in full or by initials, then find their shorter forms everywhere.
 
-Learning takes what is certain by its shape (surname, given name and patronymic in a row, or initials
-beside a surname). Finding joins the words of a text with the forms of the people learnt; a mention
-that fits one person is hidden, one that fits several is for review. Only distinct names are
-declined, and the index is joined by form, so the size of the texts does not matter to it.
+Mentions come from one pass over the words of a text (functions/names.py). Learning takes those whose
+shape is certain. Finding joins the surname of each mention with the forms of the people learnt, and
+compares given name, patronymic and initials there; a mention that fits one person is theirs, one
+that fits several is for review. A mention without a surname meets on its patronymic. Only distinct
+people are declined, and a given name, which very many share, is never a key of a join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.matches import matches
-from ..functions.morphology import PATRONYMIC_CASES, SURNAME_CASES, looks_like_patronymic, name_forms
+from ..functions.lexicon import DEFAULT, Lexicon
+from ..functions.morphology import name_forms
+from ..functions.names import SHAPES, name_mentions
 from ..functions.text import fold, initials_id, person_id
 
-_CAP = r"[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?"
-_INITIALS = r"[А-ЯЁ]\.\s?(?:[А-ЯЁ]\.)?"
-FULL = rf"(?U)(?<![\w-]){_CAP} {_CAP} [А-ЯЁ][а-яё]*{PATRONYMIC_CASES}(?![\w-])"
-GIVEN_FIRST = rf"(?U)(?<![\w-]){_CAP} [А-ЯЁ][а-яё]*{PATRONYMIC_CASES} [А-ЯЁ][а-яё]*{SURNAME_CASES}(?![\w-])"
-SURNAME_INITIALS = rf"(?U)(?<![\w-])[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)? {_INITIALS}(?![\w])"
-INITIALS_SURNAME = rf"(?U)(?<![\w.-]){_INITIALS}\s?[А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?(?![\w-])"
-HONORIFIC = rf"(?U)(?<![\w-])(?i:господин\w{{0,2}}|госпож\w{{1,2}}|товарищ\w{{0,2}}|гражданин\w{{0,2}}|гражданк\w{{1,2}}|г-н\w?|г-ж\w) {_CAP}(?![\w-])"
-ALPHABET = r"(?U)[А-ЯЁA-Z][\w'-]*"
+PEOPLE = "person_id string, surname string, given string, patronymic string, initials array<string>"
+NAMESAKES, TYPO, KNOWN = "fits several people", "a typo of a known surname", "a person named elsewhere"
 
-#: A few words that stand first in a sentence and are no name; a table of more can be given to learn().
-NOT_NAMES = ("договор", "приложение", "акт", "счет", "общество", "директор", "заказчик", "исполнитель", "область", "район", "город", "республика", "улица", "проспект", "отдел", "компания")
 
+def mentions(units: DataFrame, keys: list[str], text: str = "text", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """keys and the fields of a mention, one row for each."""
+    rows = units.select(*keys, F.explode(name_mentions(F.col(text), lexicon)).alias("__f"))
+    return rows.select(*keys, "__f.*")
 
-def _mentions(units: DataFrame, keys: list[str], text: str, pattern: str, shape: str) -> DataFrame:
-    return units.select(*keys, F.explode(matches(F.coalesce(F.col(text), F.lit("")), pattern)).alias("m")).select(*keys, F.lit(shape).alias("shape"), "m.*")
 
+def _text(column: str) -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
 
-def nominative(word: Column, feminine: Column) -> Column:
-    """The likeliest nominative of a surname met in any case."""
-    low = fold(word)
-    stem = F.regexp_replace(word, r"(?:ого|ому|им|ом|ой|ую|ою|ая|ий)$", "")
-    adjective = low.rlike(r"(?:ск|цк)(?:ого|ому|им|ом|ой|ую|ою|ая|ий)$")
-    base = F.regexp_replace(word, r"(?<=(?:ов|ев|ёв|ин|ын))(?:а|у|ым|е|ы|ых|ыми|ой|ою)$", "")
-    noun = low.rlike(r"(?:ов|ев|ин|ын)(?:а|у|ым|е|ы|ых|ыми|ой|ою)?$")
-    return F.when(adjective, F.concat(stem, F.when(feminine, "ая").otherwise("ий"))).when(noun, F.concat(base, F.when(feminine, "а").otherwise(""))).otherwise(word)
 
+def _masculine(surname: Column) -> Column:
+    """One spelling for a surname of both genders."""
+    return F.regexp_replace(F.regexp_replace(fold(surname), "(?<=(?:ов|ев|ин|ын))а$", ""), "(?<=(?:ск|цк))ая$", "ий")
 
-def learn(units: DataFrame, keys: list[str], text: str = "text", stop: tuple[str, ...] = NOT_NAMES) -> DataFrame:
-    """person_id, surname, given, patronymic, initials of everybody whom the texts name in full or by initials.
 
-    Somebody known by initials only is dropped where one full name fits them.
+def learn(named: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
+    """PEOPLE of mentions(), and of seeds (PEOPLE) such as the people of earlier documents.
+
+    Somebody named without a patronymic or by initials only is left out where a fuller name fits:
+    the fuller one will be found for both.
     """
-    full = _mentions(units, keys, text, FULL, "sgp").unionByName(_mentions(units, keys, text, GIVEN_FIRST, "gps"))
-    w = F.split("value", " ")
-    at = lambda i, j: F.when(F.col("shape") == "sgp", w[i]).otherwise(w[j])
-    full = full.select(at(0, 2).alias("surname"), at(1, 0).alias("given"), at(2, 1).alias("patronymic")).where(looks_like_patronymic(F.col("patronymic")) & ~fold(F.col("surname")).isin(*stop))
-    feminine = fold(F.col("patronymic")).rlike(r"(?:вн|чн)(?:а|ы|е|у|ой|ою)$")
-    patronymic = F.when(feminine, F.regexp_replace("patronymic", r"(?:ы|е|у|ой|ою)$", "а")).otherwise(F.regexp_replace("patronymic", r"(?:а|у|ем|е)$", ""))
-    full = full.withColumns({"surname": nominative(F.col("surname"), feminine), "patronymic": patronymic}).distinct()
-    full = full.select(person_id(F.col("surname"), F.col("given"), F.col("patronymic")).alias("person_id"), "surname", "given", "patronymic", F.array(F.left("given", F.lit(1)), F.left("patronymic", F.lit(1))).alias("initials"))
-    # One person whose given name was met in several cases: the first letters and the surname tie them.
-    same = Window.partitionBy(fold(F.col("surname")), "initials", fold(F.col("patronymic"))).orderBy(F.length("given"), "given")
-    full = full.withColumn("__n", F.row_number().over(same)).where("__n = 1").drop("__n")
-
-    brief = _mentions(units, keys, text, SURNAME_INITIALS, "si").unionByName(_mentions(units, keys, text, INITIALS_SURNAME, "is"))
-    surname = nominative(F.regexp_extract("value", r"(?U)([А-ЯЁ][а-яё]+(?:-[А-ЯЁ][а-яё]+)?)(?![.\w])", 1), F.lit(False))
-    letters = F.transform(F.regexp_extract_all("value", F.lit(r"([А-ЯЁ])\."), F.lit(1)), lambda x: x)
-    brief = brief.select(surname.alias("surname"), letters.alias("initials")).where((F.length("surname") > 1) & ~fold(F.col("surname")).isin(*stop)).distinct()
-    known = full.select(fold(F.regexp_replace("surname", "(?<=(?:ов|ев|ин|ын))а$", "")).alias("__s"), F.col("initials").alias("__i"))
-    fits = (fold(F.col("surname")) == F.col("__s")) & (F.col("initials")[0] == F.col("__i")[0]) & ((F.size("initials") < 2) | (F.try_element_at("initials", F.lit(2)) == F.col("__i")[1]))
+    names = named.select("shape", F.col("n_surname").alias("surname"), F.col("n_given").alias("given"), F.col("n_patronymic").alias("patronymic"), "letters").distinct()
+    firsts = F.array_compact(F.array(F.when(F.col("given").isNotNull(), F.left("given", F.lit(1))), F.when(F.col("patronymic").isNotNull(), F.left("patronymic", F.lit(1)))))
+
+    def people(rows: DataFrame, initials: Column = firsts) -> DataFrame:
+        who = rows.select("surname", "given", "patronymic", initials.alias("initials")).where("surname IS NOT NULL")
+        return who.withColumn("person_id", person_id(F.col("surname"), F.col("given"), F.col("patronymic"))).select("person_id", "surname", "given", "patronymic", "initials").dropDuplicates(["person_id"])
+
+    full = people(names.where("shape = 'full'"))
+    if seeds is not None:
+        full = full.unionByName(seeds).dropDuplicates(["person_id"])
+    pairs = people(names.where("shape IN ('pair', 'maybe_pair')"))
+    same = full.select(_masculine(F.col("surname")).alias("__s"), fold(F.col("given")).alias("__g")).distinct()
+    pairs = pairs.where(_text("given") != "").join(same, (_masculine(F.col("surname")) == F.col("__s")) & (fold(F.col("given")) == F.col("__g")), "left_anti")
+    fuller = full.unionByName(pairs)
+
+    brief = names.where("shape = 'initials' AND surname IS NOT NULL").select("surname", F.transform("letters", F.upper).alias("initials")).distinct()
+    known = fuller.where("surname IS NOT NULL").select(_masculine(F.col("surname")).alias("__s"), F.col("initials").alias("__i")).distinct()
+    fits = (_masculine(F.col("surname")) == F.col("__s")) & (F.col("initials")[0] == F.col("__i")[0]) & ((F.size("initials") < 2) | (F.size("__i") < 2) | (F.try_element_at("initials", F.lit(2)) == F.try_element_at("__i", F.lit(2))))
     brief = brief.join(known, fits, "left_anti")
-    brief = brief.select(initials_id(F.col("surname"), F.col("initials")).alias("person_id"), "surname", F.lit(None).cast("string").alias("given"), F.lit(None).cast("string").alias("patronymic"), "initials")
-    return full.unionByName(brief).dropDuplicates(["person_id"])
+    # "Петров И." is dropped beside "Петров И.С."
+    longer = brief.where(F.size("initials") > 1).select(fold(F.col("surname")).alias("__s"), F.col("initials")[0].alias("__f")).distinct()
+    one = brief.where(F.size("initials") < 2).join(longer, (fold(F.col("surname")) == F.col("__s")) & (F.col("initials")[0] == F.col("__f")), "left_anti")
+    brief = brief.where(F.size("initials") > 1).unionByName(one)
+    none = F.lit(None).cast("string")
+    brief = brief.select(initials_id(F.col("surname"), F.col("initials")).alias("person_id"), "surname", none.alias("given"), none.alias("patronymic"), "initials")
+    out = fuller.unionByName(brief)
+
+    alone = people(names.where("shape IN ('honorific', 'role', 'list')"))
+    alone = alone.where("given IS NULL").join(out.select(_masculine(F.col("surname")).alias("__s")).distinct(), _masculine(F.col("surname")) == F.col("__s"), "left_anti")
+    return out.unionByName(alone).dropDuplicates(["person_id"])
 
 
 def form_index(people: DataFrame) -> DataFrame:
@@ -74,60 +78,67 @@ def form_index(people: DataFrame) -> DataFrame:
     return people.select("person_id", F.explode(name_forms(F.col("surname"), F.col("given"), F.col("patronymic"))).alias("f")).select("f.form", "f.slot", "person_id").distinct()
 
 
-def find(units: DataFrame, people: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """keys, start, end, original, decision, confidence, reason, candidates: every mention of the people.
-
-    A mention is one to three neighbouring words and initials; the people of the forms of its words
-    are narrowed by its initials. Of mentions within one another the longest stays.
-    """
-    tokens = matches(F.coalesce(F.col(text), F.lit("")), rf"(?U)(?<![\w-])(?:{_CAP}(?![\w-])|[А-ЯЁ]\.)")
-    rows = units.select(*keys, tokens.alias("ws")).where(F.size("ws") > 0)
-    window = lambda i: F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.slice("ws", i + 1, k))
-    runs = rows.select(*keys, F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("ws") - 1), window)))).alias("r"))
-    length = F.aggregate("r", F.lit(0), lambda n, w: n + w["end"] - w["start"])
-    start, end = F.col("r")[0]["start"], F.element_at("r", -1)["end"]
-    runs = runs.where(end - start <= length + F.size("r") - 1)
-    words = F.filter("r", lambda w: ~F.endswith(w["value"], F.lit(".")))
-    letters = F.transform(F.filter("r", lambda w: F.endswith(w["value"], F.lit("."))), lambda w: F.left(w["value"], F.lit(1)))
-    parts = runs.select(*keys, start.alias("start"), end.alias("end"), words.alias("words"), letters.alias("letters"))
-    each = parts.where(F.size("words") > 0).select(*keys, "start", "end", "letters", F.size("words").alias("n"), F.explode("words").alias("w")).withColumn("form", fold(F.col("w.value")))
-    hits = each.join(form_index(people), "form").groupBy(*keys, "start", "end", "letters", "n", "person_id")
-    hits = hits.agg(F.count_distinct("form").alias("k"), F.max((F.col("slot") == "surname").cast("int")).alias("surname"), F.max((F.col("slot") == "patronymic").cast("int")).alias("patronymic"), F.max((F.col("slot") == "given").cast("int")).alias("given"))
-    hits = hits.join(people.select("person_id", "initials"), "person_id")
-    fits = (F.size("letters") == 0) | ((F.col("letters")[0] == F.col("initials")[0]) & ((F.size("letters") < 2) | (F.size("initials") < 2) | (F.try_element_at("letters", F.lit(2)) == F.try_element_at("initials", F.lit(2)))))
-    sure = (F.col("k") == F.col("n")) & fits & ((F.col("surname") == 1) | ((F.col("given") == 1) & (F.col("patronymic") == 1)))
-    found = hits.where(sure).groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_set("person_id")).alias("candidates"))
-    wider = found.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    same = [F.col(k) == F.col(f"__{k}") for k in keys]
-    inside = (F.col("__s") <= F.col("start")) & (F.col("__e") >= F.col("end")) & (F.col("__e") - F.col("__s") > F.col("end") - F.col("start"))
-    for c in same:
-        inside = inside & c
-    found = found.join(wider, inside, "left_anti").join(units.select(*keys, F.col(text).alias("__t")), keys)
-    many = F.size("candidates") > 1
-    original = F.substr("__t", F.col("start") + 1, F.col("end") - F.col("start"))
-    return found.select(*keys, "start", "end", original.alias("original"), F.lit("PERSON").alias("category"), F.when(many, "REVIEW").otherwise("AUTO").alias("decision"), F.when(many, 0.55).otherwise(0.97).alias("confidence"), F.when(many, "fits several people").otherwise("a person named elsewhere").alias("reason"), "candidates")
-
-
-def unknown(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """Mentions by shape alone: initials beside a surname, and a name after a form of address."""
-    rows = _mentions(units, keys, text, SURNAME_INITIALS, "initials").unionByName(_mentions(units, keys, text, INITIALS_SURNAME, "initials")).unionByName(_mentions(units, keys, text, HONORIFIC, "honorific"))
-    sure = F.col("shape") == "initials"
-    return rows.select(*keys, "start", "end", F.col("value").alias("original"), F.when(sure, "PERSON").otherwise("POSSIBLE_PERSON").alias("category"), F.when(sure, "AUTO").otherwise("REVIEW").alias("decision"), F.when(sure, 0.85).otherwise(0.7).alias("confidence"), F.col("shape").alias("reason"))
-
-
-def misspelt(units: DataFrame, people: DataFrame, keys: list[str], text: str = "text", least: float = 0.85, most: int = 120) -> DataFrame:
-    """Words like a known surname: blocked by their first three letters and a length that differs by one at most.
+def _index(people: DataFrame) -> DataFrame:
+    """person_id, initials, and the forms of each slot as arrays."""
+    forms = name_forms(F.col("surname"), F.col("given"), F.col("patronymic"))
+    rows = people.select("person_id", "initials", forms.alias("f"))
+    of = lambda slot: F.array_distinct(F.transform(F.filter("f", lambda x: x["slot"] == slot), lambda x: x["form"]))
+    return rows.select("person_id", "initials", *(of(s).alias(s) for s in ("surname", "given", "patronymic")))
+
+
+def find(named: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, start, end, candidates: the people whom each mention fits."""
+    index = _index(people)
+    asked = named.select(*keys, "start", "end", fold(F.col("surname")).alias("s"), fold(F.col("given")).alias("g"), fold(F.col("patronymic")).alias("p"), F.transform("letters", F.upper).alias("letters"))
+    by_surname = asked.where("s IS NOT NULL").join(index.select("*", F.explode("surname").alias("form")), F.col("s") == F.col("form"))
+    by_patronymic = asked.where("s IS NULL AND p IS NOT NULL").join(index.select("*", F.explode("patronymic").alias("form")), F.col("p") == F.col("form"))
+    near = by_surname.unionByName(by_patronymic)
+    same = lambda mine, theirs: F.col(mine).isNull() | (F.size(theirs) == 0) | F.array_contains(theirs, F.col(mine))
+    first, second = F.col("letters")[0], F.try_element_at("letters", F.lit(2))
+    own, other = F.try_element_at("initials", F.lit(1)), F.try_element_at("initials", F.lit(2))
+    # initials of an unknown given name match anything
+    fits = (F.size("letters") == 0) | ((own.isNull() | (first == own)) & (second.isNull() | other.isNull() | (second == other)))
+    told = F.col("g").isNull() | (F.size("given") > 0) | (F.size("initials") == 0) | (F.upper(F.left("g", F.lit(1))) == own)
+    near = near.where(same("g", "given") & same("p", "patronymic") & fits & told)
+    return near.groupBy(*keys, "start", "end").agg(F.array_sort(F.collect_set("person_id")).alias("candidates"))
+
+
+FOUND = ["start", "end", "category", "decision", "confidence", "reason", "candidates", "person_key"]
+
+
+def findings(named: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and FOUND: every mention that is somebody known, or that is a person by its shape."""
+    hits = find(named, people, keys)
+    rows = named.join(hits, [*keys, "start", "end"], "left")
+    many, one = F.size("candidates") > 1, F.size("candidates") == 1
+    shapes = F.create_map(*(F.lit(x) for name, (c, d, p) in SHAPES.items() for x in (name, f"{c},{d},{p}")))
+    own = F.split(F.try_element_at(shapes, F.col("shape")), ",")
+    unknown = fold(F.concat_ws(" ", "n_surname", "n_given", "n_patronymic", F.array_join("letters", "")))
+    return rows.where((F.size("candidates") > 0) | (F.col("shape") != "word")).select(
+        *keys, "start", "end",
+        F.when(one | many, "PERSON").otherwise(own[0]).alias("category"),
+        F.when(many, "REVIEW").when(one, "AUTO").otherwise(own[1]).alias("decision"),
+        F.when(many, 0.55).when(one, 0.97).otherwise(own[2].cast("double")).alias("confidence"),
+        F.when(many, NAMESAKES).when(one, KNOWN).otherwise(F.concat(F.lit("shape: "), "shape")).alias("reason"),
+        F.coalesce("candidates", F.array().cast("array<string>")).alias("candidates"),
+        F.when(one, F.col("candidates")[0]).otherwise(unknown).alias("person_key"),
+    )
+
+
+def misspelt(named: DataFrame, people: DataFrame, keys: list[str], least: float = 0.85, most: int = 120) -> DataFrame:
+    """keys and FOUND: lone words like a known surname, blocked by their first three letters and a length that differs by one at most.
 
     At most `most` surnames are compared with a word (the nearest by length, then by name), as a rule
     of the product. Similarity is 1 - edits / length of the longer word.
     """
-    words = _mentions(units, keys, text, rf"(?U)(?<![\w-]){_CAP}(?![\w-])", "word").where("length(value) >= 5").withColumn("form", fold(F.col("value")))
+    words = named.where("shape = 'word' AND length(surname) >= 5").withColumn("form", fold(F.col("surname")))
     names = people.select(fold(F.col("surname")).alias("name"), "person_id").where("length(name) >= 5").distinct()
     near = words.select("form").distinct().withColumn("block", F.left("form", F.lit(3)))
     near = near.join(names.withColumn("block", F.left("name", F.lit(3))), "block").where("abs(length(form) - length(name)) <= 1 AND form != name")
     order = Window.partitionBy("form").orderBy(F.abs(F.length("form") - F.length("name")), "name", "person_id")
     near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     near = near.withColumn("ratio", 1 - F.levenshtein("form", "name") / F.greatest(F.length("form"), F.length("name"))).where(F.col("ratio") >= least)
-    best = near.groupBy("form").agg(F.array_sort(F.collect_set("person_id")).alias("candidates"), F.least(F.max("ratio"), F.lit(0.89)).alias("confidence"))
+    best = near.groupBy("form").agg(F.array_sort(F.collect_set("person_id")).alias("candidates"), F.least(F.max("ratio"), F.lit(0.89)).alias("typo"))
     known = form_index(people).select("form").distinct()
-    return words.join(best, "form").join(known, "form", "left_anti").select(*keys, "start", "end", F.col("value").alias("original"), F.lit("POSSIBLE_PERSON").alias("category"), F.lit("REVIEW").alias("decision"), "confidence", F.lit("a typo of a known surname").alias("reason"), "candidates")
+    found = words.join(best, "form").join(known, "form", "left_anti")
+    return found.select(*keys, "start", "end", F.lit("POSSIBLE_PERSON").alias("category"), F.lit("REVIEW").alias("decision"), F.col("typo").alias("confidence"), F.lit(TYPO).alias("reason"), "candidates", F.col("form").alias("person_key"))

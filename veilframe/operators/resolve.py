@@ -13,8 +13,8 @@ from ..functions.patterns import CONTAINERS, FRAGMENT
 from .rules import FINDING
 
 
-def resolved(candidates: Column, text: Column) -> Column:
-    """array<FINDING> of disjoint findings, ordered by start. text is what the spans point into."""
+def resolved(candidates: Column, kind: str = FINDING) -> Column:
+    """array<kind> of disjoint findings, ordered by start. kind is FINDING or a struct with its fields and more."""
     keyed = F.transform(
         candidates,
         lambda f: F.struct(
@@ -22,7 +22,7 @@ def resolved(candidates: Column, text: Column) -> Column:
         ),
     )
     order = F.transform(F.array_sort(keyed), lambda k: k["f"])
-    none = F.array().cast(f"array<{FINDING}>")
+    none = F.array().cast(f"array<{kind}>")
 
     def free(done: Column, x: Column) -> Column:
         """The parts of x that nothing in done covers, as findings."""
@@ -34,7 +34,7 @@ def resolved(candidates: Column, text: Column) -> Column:
             lambda g: F.when(g["at"] < x["end"], F.concat(g["out"], F.array(F.struct(g["at"].alias("s"), x["end"].alias("t"))))).otherwise(g["out"]),
         )
         parts = F.filter(gaps, lambda p: p["t"] - p["s"] >= FRAGMENT)
-        return F.transform(parts, lambda p: x.withField("start", p["s"]).withField("end", p["t"]).withField("original", F.substr(text, p["s"] + 1, p["t"] - p["s"])))
+        return F.transform(parts, lambda p: x.withField("start", p["s"]).withField("end", p["t"]).withField("original", F.substr(x["original"], p["s"] - x["start"] + 1, p["t"] - p["s"])))
 
     def take(done: Column, x: Column) -> Column:
         clear = ~F.exists(done, lambda y: (y["start"] < x["end"]) & (y["end"] > x["start"]))
@@ -45,9 +45,9 @@ def resolved(candidates: Column, text: Column) -> Column:
     return F.when(F.size(candidates) == 0, none).otherwise(F.transform(by_start, lambda k: k["f"]))
 
 
-def resolve(units: DataFrame, text: str = "text") -> DataFrame:
+def resolve(units: DataFrame) -> DataFrame:
     """units with findings in place of candidates."""
-    return units.withColumn("findings", resolved(F.col("candidates"), F.coalesce(F.col(text), F.lit("")))).drop("candidates")
+    return units.withColumn("findings", resolved(F.col("candidates"))).drop("candidates")
 
 
 def open_namesakes(findings: DataFrame) -> DataFrame:

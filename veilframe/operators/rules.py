@@ -6,56 +6,36 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.checks import VALIDATORS
 from ..functions.matches import matches
-from ..functions.patterns import BIRTH_CONTEXT, DEFAULT_PRIORITY, LITERAL_PRIORITY, LONE_DATE, RULES, Rule, priority_of
+from ..functions.patterns import BIRTH_CONTEXT, RULES, Rule, priority_of
+from ..functions.scan import Scanner, read
 from ..functions.text import finding_id, identity_key
-from ..functions.tokens import EMAIL_TOKEN, TOKEN
+from ..functions.tokens import EMAIL_TOKEN
 
 FINDING = "struct<category:string,start:int,end:int,original:string,decision:string,confidence:double,reason:string,priority:int,emit_seq:int>"
 
 
-def _finding(rule: str, category: str, m: Column, confidence: float, priority: int, seq: int, decision: str = "AUTO") -> Column:
-    return F.struct(
-        F.lit(category).alias("category"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("original"), F.lit(decision).alias("decision"),
-        F.lit(confidence).alias("confidence"), F.lit(rule).alias("reason"), F.lit(priority).alias("priority"), F.lit(seq).alias("emit_seq"),
-    )
-
-
 def rule_findings(text: Column, rule: Rule, seq: int = 0) -> Column:
-    """array<FINDING> of one rule. A cheap look for what the rule needs comes before its pattern."""
+    """array<FINDING> of one rule, as functions of Spark only. detect() runs many rules in one pass."""
     found = matches(text, rule.java, rule.group)
     if rule.check:
         found = F.filter(found, lambda m: VALIDATORS[rule.check](m["value"]))
-    found = F.transform(found, lambda m: _finding(rule.name, rule.category, m, rule.confidence, priority_of(rule.category), seq))
+    fixed = {"decision": F.lit("AUTO"), "confidence": F.lit(rule.confidence), "reason": F.lit(rule.name), "priority": F.lit(priority_of(rule.category)), "emit_seq": F.lit(seq)}
+    found = F.transform(found, lambda m: F.struct(F.lit(rule.category).alias("category"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("original"), *(v.alias(k) for k, v in fixed.items())))
     if rule.needs is None:
         return found
     may = text.rlike(r"(?U)\d") if rule.needs == "digit" else F.contains(text, F.lit(rule.needs))
     return F.when(may, found).otherwise(F.array().cast(f"array<{FINDING}>"))
 
 
-def lone_dates(text: Column, birth_context: Column, seq: int) -> Column:
-    """A date alone in its unit, where its file speaks of births: to be reviewed."""
-    date = F.regexp_extract(text, r"(?U)^\s*([0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2})\s*$", 1)
-    start = F.length(F.regexp_extract(text, r"(?U)^(\s*)", 1))
-    year = F.right(date, F.lit(4)).try_cast("int")
-    m = F.struct(start.alias("start"), (start + F.length(date)).alias("end"), date.alias("value"))
-    hit = birth_context & text.rlike(f"(?U){LONE_DATE}") & year.between(1920, F.year(F.current_date()) - 16)
-    return F.when(hit, F.array(_finding("lone_date", "BIRTH_DATE", m, 0.6, DEFAULT_PRIORITY, seq, "REVIEW"))).otherwise(F.array().cast(f"array<{FINDING}>"))
-
+def chosen(secrets: bool = True, personal: bool = True, business: bool = False) -> tuple[Rule, ...]:
+    wanted = {"SECRET": secrets, "BUSINESS": business}
+    return tuple(r for r in RULES if wanted.get(r.category, personal))
 
-def literal_tokens(text: Column, seq: int) -> Column:
-    """Text that happens to look like a token: replaced too, so that restoring cannot change it."""
-    both = F.concat(matches(text, TOKEN), matches(text, EMAIL_TOKEN))
-    return F.when(text.rlike("[0-9]"), F.transform(both, lambda m: _finding("literal_token", "TERM", m, 1.0, LITERAL_PRIORITY, seq))).otherwise(F.array().cast(f"array<{FINDING}>"))
 
-
-def detect(units: DataFrame, text: str = "text", secrets: bool = True, personal: bool = True, business: bool = False, literals: bool = True, rules: tuple[Rule, ...] | None = None) -> DataFrame:
-    """units with candidates: array<FINDING>, all rules together, not yet resolved."""
-    use = rules if rules is not None else tuple(r for r in RULES if (r.category == "SECRET" and secrets) or (r.category == "BUSINESS" and business) or (r.category not in ("SECRET", "BUSINESS") and personal))
-    body = F.coalesce(F.col(text), F.lit(""))
-    lists = [rule_findings(body, r, i) for i, r in enumerate(use)]
-    if literals:
-        lists.append(literal_tokens(body, len(use)))
-    return units.withColumn("candidates", F.concat(*lists) if lists else F.array().cast(f"array<{FINDING}>"))
+def detect(units: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] | None = None, literals: bool = True, lone_dates: bool = False, hide: tuple[str, ...] = ()) -> DataFrame:
+    """keys and the fields of HIT: what all rules find, not yet resolved, in raw coordinates."""
+    rows = read(units, keys, text, Scanner(chosen() if rules is None else rules, literals, hide, lone_dates), None, None)
+    return rows.select(*keys, F.explode("rules").alias("__f")).select(*keys, "__f.*").withColumn("finding_id", finding_id(*map(F.col, keys), F.col("start"), F.col("end"), F.col("original")))
 
 
 def birth_files(units: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
@@ -63,14 +43,7 @@ def birth_files(units: DataFrame, file: str = "file", text: str = "text") -> Dat
     return units.where(F.col(text).rlike(f"(?U){BIRTH_CONTEXT}")).select(file).distinct()
 
 
-def exploded(units: DataFrame, column: str, keys: list[str]) -> DataFrame:
-    """One row for each finding of a column, with its key and its stable id."""
-    rows = units.select(*keys, F.explode(column).alias("f")).select(*keys, "f.*")
-    return rows.withColumn("key", identity_key(F.col("category"), F.col("original"))).withColumn("finding_id", finding_id(*map(F.col, keys), F.col("start"), F.col("end"), F.col("original")))
-
-
-def residual_rules(units: DataFrame, text: str = "text") -> DataFrame:
-    """units with residual: what the rules still find after a rewrite, tokens apart."""
-    found = detect(units, text, literals=False)
-    left = F.filter("candidates", lambda f: ~f["original"].rlike(f"^(?:{EMAIL_TOKEN})$"))
-    return found.withColumn("residual", left).drop("candidates")
+def residual_rules(units: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """What the rules still find after a rewrite, tokens apart: keys, category, start, end, original."""
+    found = detect(units, keys, text, literals=False)
+    return found.where(~F.col("original").rlike(f"^(?:{EMAIL_TOKEN})$")).select(*keys, "category", "start", "end", "original", "reason")

@@ -13,12 +13,13 @@ from ..functions.tokens import base_of, format_token, group_of, kind_of, normal_
 from ..operators import columns, entities, numbers, people, restore as back, vault as vaults, verify
 from ..operators.numbering import numbered
 from ..operators.resolve import override, resolved, suggestions
-from ..operators.rules import detect, exploded, rule_findings
+from ..operators.rules import detect, rule_findings
 from ..operators.splice import splice
 from ..sources import files
+from . import planted
 from .engine import Settings, findings_of, pseudonymize, restored
+from .lineage import settled
 
-EMAIL_ONLY = Settings(rules=rules_of("EMAIL"))
 _NAMED = {r.name: r for r in RULES}
 
 
@@ -53,7 +54,7 @@ def _rule(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every rule over every document, before resolution."""
-    rows = exploded(detect(_docs(spark, sf_dir).where("text IS NOT NULL")), "candidates", ["doc_id"])
+    rows = detect(_docs(spark, sf_dir), ["doc_id"])
     return rows.select("doc_id", "category", "start", "end", "reason", "confidence", "priority", "key", "finding_id")
 
 
@@ -146,7 +147,7 @@ def _mail_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every e-mail address, numbered by first appearance, with variants by spelling."""
-    _, rows = vaults.issue(vaults.Vault.empty(spark), _mail_mentions(spark, sf_dir), ["doc_id", "start"])
+    _, rows = vaults.issue(vaults.Vault.empty(spark), _mail_mentions(spark, sf_dir), ["doc_id", "start"], 0.0)
     return rows.select("doc_id", "start", "original", "base", "variant", "token")
 
 
@@ -162,7 +163,7 @@ TOKEN_SQL = f"WITH {_NUMBERED} SELECT * FROM t"
 def spliced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with their e-mail addresses replaced."""
     docs = _docs(spark, sf_dir)
-    _, rows = vaults.issue(vaults.Vault.empty(spark), _mail_mentions(spark, sf_dir), ["doc_id", "start"])
+    _, rows = vaults.issue(vaults.Vault.empty(spark), _mail_mentions(spark, sf_dir), ["doc_id", "start"], 0.0)
     edits = rows.select("doc_id", "start", (F.col("start") + F.length("original")).alias("end"), "token")
     out = splice(docs, edits, ["doc_id"], guard=False)
     return out.select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("chars"))
@@ -198,7 +199,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def resolve_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy overlap resolution of spans made from order lines."""
-    rows = _spans(spark, sf_dir).select("l_orderkey", F.explode(resolved(F.col("c"), F.lit(""))).alias("f"))
+    rows = _spans(spark, sf_dir).select("l_orderkey", F.explode(resolved(F.col("c"))).alias("f"))
     return rows.select("l_orderkey", F.col("f.start").alias("start"), F.col("f.end").alias("end"), F.col("f.emit_seq").alias("line"))
 
 
@@ -217,7 +218,7 @@ def container_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "адрес ул. Мира, Иванов, дом 7 и ещё"
     f = "struct<category:string,start:int,end:int,original:string,decision:string,confidence:double,reason:string,priority:int,emit_seq:int>"
     rows = spark.createDataFrame([(text, [("ADDRESS", 6, 29, text[6:29], "AUTO", 0.9, "", 700, 0), ("PERSON", 16, 22, text[16:22], "AUTO", 0.9, "", 900, 1), ("ADDRESS", 20, 35, text[20:35], "AUTO", 0.8, "", 700, 2)])], f"text string, c array<{f}>")
-    return rows.select(F.explode(resolved(F.col("c"), F.col("text"))).alias("f")).select("f.category", "f.start", "f.end", "f.original")
+    return rows.select(F.explode(resolved(F.col("c"))).alias("f")).select("f.category", "f.start", "f.end", "f.original")
 
 
 SPLIT_SQL = """
@@ -283,14 +284,13 @@ JOIN (WITH s AS (SELECT * FROM (VALUES ('Name1', 1, 'Анна'), ('Name1', 2, '
 
 def kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions and entities of addresses of both kinds, by report group."""
-    docs = _docs(spark, sf_dir).where("text IS NOT NULL")
-    found = exploded(detect(docs, literals=False, rules=rules_of("EMAIL", "IP_ADDRESS")), "candidates", ["doc_id"])
-    rows = found.groupBy(group_of(kind_of(F.col("category"))).alias("group"), "category").agg(F.count("*").alias("mentions"), F.count_distinct("key").alias("entities"))
-    return rows
+    found = detect(_docs(spark, sf_dir), ["doc_id"], literals=False, rules=rules_of("EMAIL", "IP_ADDRESS"))
+    _, tokens = vaults.issue(vaults.Vault.empty(spark), found, ["doc_id", "start"], 0.0)
+    return verify.kind_counts(tokens, ["category"])
 
 
 KIND_SQL = f"""
-SELECT 'contacts' AS "group", 'EMAIL' AS category, count(*) AS mentions, count(DISTINCT lower(value)) AS entities FROM ({_positions(MAIL)})
+SELECT 'contacts' AS "group", 'EMAIL' AS category, count(*) AS replaced, count(DISTINCT lower(value)) AS entities FROM ({_positions(MAIL)})
 UNION ALL SELECT 'contacts', 'IP_ADDRESS', count(*), count(DISTINCT value) FROM ({_positions(ADDRESS4)})
 """
 
@@ -298,24 +298,26 @@ UNION ALL SELECT 'contacts', 'IP_ADDRESS', count(*), count(DISTINCT value) FROM
 def word_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words by which the texts of odd and even documents differ, with multiplicity."""
     docs = _docs(spark, sf_dir)
-    return verify.word_difference(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")).where("length(word) > 2")
+    return verify.word_difference(docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1"))
 
 
 DIFF_SQL = r"""
 WITH w AS (SELECT doc_id % 2 AS side, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_-]+')) AS word FROM documents), c AS (SELECT word, count(*) FILTER (WHERE side = 0) AS a, count(*) FILTER (WHERE side = 1) AS b FROM w GROUP BY 1)
-SELECT word, greatest(a - b, 0) AS lost, greatest(b - a, 0) AS gained FROM c WHERE a != b AND length(word) > 2
+SELECT word, greatest(a - b, 0) AS lost, greatest(b - a, 0) AS gained FROM c WHERE a != b
 """
 
 
 def residual_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of 300 customer-like originals stand in the documents as whole words."""
+    """Which of the first two words of each benchmark item, and of a few others, stand in the documents as whole words."""
     docs = _docs(spark, sf_dir)
     originals = spark.createDataFrame([("idiot",), ("the heen",), ("License",), ("not there",), ("Apache License",)], "original string")
-    return verify.residual_values(docs, originals, ["doc_id"])
+    first = _read(spark, sf_dir, "benchmark").select(F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("original")).where(F.col("original").rlike("^[A-Za-z ]+$"))
+    return verify.residual_values(docs, originals.unionByName(first), ["doc_id"])
 
 
 RESIDUAL_SQL = r"""
-SELECT DISTINCT doc_id, original FROM documents, (VALUES ('idiot'), ('the heen'), ('License'), ('not there'), ('Apache License')) AS v(original)
+WITH v AS (SELECT unnest(['idiot', 'the heen', 'License', 'not there', 'Apache License']) AS original UNION SELECT array_to_string(string_split(text, ' ')[1:2], ' ') FROM benchmark WHERE regexp_full_match(array_to_string(string_split(text, ' ')[1:2], ' '), '[A-Za-z ]+'))
+SELECT DISTINCT doc_id, original FROM documents JOIN v ON contains(text, original)
 WHERE regexp_matches(' ' || text || ' ', '[^\p{L}\p{M}\p{N}_]' || original || '[^\p{L}\p{M}\p{N}_]')
 """
 
@@ -390,14 +392,14 @@ _FILES = ("a.txt", "B.XLSX", "c.docm", "d.xls", "e.pdf", "f.jpeg", "g", "h.odt",
 def format_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(n,) for n in _FILES], "name string")
     kind = files.classify(F.col("name"))
-    return rows.select("name", kind.alias("format"), F.coalesce(files.unsupported_reason(kind), F.lit("")).alias("reason")).withColumn("taken", F.col("reason") == "").drop("reason").where("format != 'PDF'")
+    return rows.select("name", kind.alias("format"), F.coalesce(files.unsupported_reason(kind), F.lit("")).alias("reason")).withColumn("taken", F.col("reason") == "").drop("reason")
 
 
 CLASSIFY_SQL = f"""
 WITH n AS (SELECT unnest({list(_FILES)}) AS name), e AS (SELECT name, CASE WHEN regexp_matches(name, '^[^.].*\\.[^.]+$') THEN lower(regexp_extract(name, '\\.([^.]+)$', 1)) ELSE '' END AS x FROM n),
 k AS (SELECT name, CASE WHEN x IN ('txt', 'csv', 'tsv', 'md', 'json', 'xml', 'log', 'htm', 'html', 'ini', 'yaml', 'yml') THEN 'TEXT' WHEN x IN ('xlsx', 'docx', 'pptx') THEN 'OOXML' WHEN x IN ('odt', 'ods', 'odp') THEN 'ODF'
   WHEN x IN ('xlsm', 'docm', 'pptm') THEN 'MACRO_OFFICE' WHEN x IN ('xls', 'doc', 'ppt') THEN 'OLD_OFFICE' WHEN x = 'pdf' THEN 'PDF' WHEN x IN ('png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'gif', 'webp', 'heic') THEN 'IMAGE' ELSE 'UNSUPPORTED' END AS format FROM e)
-SELECT name, format, format IN ('TEXT', 'OOXML') AS taken FROM k WHERE format != 'PDF'
+SELECT name, format, format IN ('TEXT', 'OOXML') AS taken FROM k
 """
 
 
@@ -419,7 +421,7 @@ SELECT p_partkey, CASE WHEN c = 'hide' THEN 'PERSON' ELSE 'POSSIBLE_PERSON' END
 def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report for each source of documents, as for files."""
     docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("file"), "doc_id", "text")
-    found = exploded(detect(docs, literals=False, rules=rules_of("EMAIL", "IP_ADDRESS")), "candidates", ["file", "doc_id"])
+    found = detect(docs, ["file", "doc_id"], literals=False, rules=rules_of("EMAIL", "IP_ADDRESS"))
     report = verify.file_report(found, docs.select("file", F.lit("TEXT").alias("format")).distinct())
     return report.select("file", "status", F.coalesce(F.try_element_at("counts", F.lit("EMAIL")), F.lit(0)).alias("emails"), F.coalesce(F.try_element_at("counts", F.lit("IP_ADDRESS")), F.lit(0)).alias("addresses"), "total")
 
@@ -458,18 +460,81 @@ def header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.person_columns(cells).select(F.lit("PERSON").alias("kind"), "col", "item").unionByName(columns.place_columns(cells).select(F.lit("PLACE").alias("kind"), "col", "item"))
 
 
-_PROSE = [(1, "Утвердил Иванов Пётр Сергеевич, ООО «Ромашка Плюс», г. Тверь."), (2, "Передать Иванову П.С. в Ромашка Плюс, mayak.ru и a@mayak.ru"), (3, "Сидоров А.Б. и П. С. Иванов, Технологии Контроля (ТеКо)"), (4, "Иванав пришёл к госпоже Петровой")]
+def people_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who is named in the documents and in the labelled texts, with all that the texts say about them."""
+    units = planted.people_texts(_read(spark, sf_dir, "customer")).select(F.concat_ws("-", "k", "label").alias("unit"), "text").unionByName(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("unit"), "text"))
+    named = people.mentions(units, ["unit"])
+    return people.findings(named, people.learn(named), ["unit"]).select("unit", "start", "end", "category", "decision", F.size("candidates").alias("candidates"))
 
 
-def people_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = spark.createDataFrame(_PROSE, "unit int, text string")
-    known = people.learn(units, ["unit"])
-    return people.find(units, known, ["unit"]).select("unit", "start", "end", "original", "decision")
+def people_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """200 invented people in 16 spellings: what stays in each text."""
+    units = planted.people_texts(_read(spark, sf_dir, "customer"))
+    return pseudonymize(units, vaults.Vault.empty(spark), ["k", "label"]).units.select("k", "label", "text")
+
+
+def people_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same texts, hidden and restored; hidden says whether any name was replaced."""
+    units = planted.people_texts(_read(spark, sf_dir, "customer"))
+    done = pseudonymize(units, vaults.Vault.empty(spark), ["k", "label"])
+    back = restored(done.units, done.vault, ["k", "label"]).select("k", "label", "text")
+    changed = done.units.select("k", "label", F.col("text").contains("Name").alias("hidden"))
+    return back.join(changed, ["k", "label"])
 
 
 def entities_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    units = spark.createDataFrame(_PROSE, "unit int, text string")
-    return entities.known(units, entities.register(entities.explicit(units, ["unit"])), ["unit"])
+    """Organisations and places that signs tell in the documents, and wherever their names stand again."""
+    units = _docs(spark, sf_dir)
+    found = entities.explicit(units, ["doc_id"])
+    return entities.known(units, entities.register(found), ["doc_id"]).select("doc_id", "start", "end", "category", "key")
+
+
+def entities_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Invented companies, cities and sites, told by a sign in one text and named without it in others: what stays."""
+    units = planted.entity_texts(_read(spark, sf_dir, "customer"))
+    return pseudonymize(units, vaults.Vault.empty(spark), ["label", "k"]).units.select("k", "label", "text")
+
+
+def issue_then_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers issued on their own day and purged a week after the last: who is left; a lookup keeps the first ones."""
+    day = 86400.0
+    rows = _read(spark, sf_dir, "customer").select(F.lit("PERSON").alias("category"), F.col("c_name").alias("key"), F.col("c_name").alias("original"), "c_custkey", (F.col("c_custkey") % 20).alias("day"))
+    vault = vaults.Vault.empty(spark)
+    for d in (0, 9, 19):
+        vault, _ = vaults.issue(vault, rows.where(F.col("day") == d), ["c_custkey"], d * day)
+        vault = vaults.Vault(*(settled(t) for t in (vault.entities, vault.spellings, vault.counters)))
+    seen = vault.entities.where("number <= 5").select("base")
+    vault = vaults.purge(vaults.touched(vault, seen, 19 * day), F.lit(20 * day), 7)
+    return vault.entities.select("base", "key", "used").join(vault.spellings.groupBy("base").agg(F.count("*").alias("spellings")), "base")
+
+
+def surrogate_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole number from 13 to 9999: each hidden by a number of its own, and restored."""
+    rows = spark.range(13, 10_000).select(F.col("id").cast("string").alias("original"))
+    mapping = settled(numbers.surrogates(rows, spark.createDataFrame([], "original string, surrogate string"), "key"))
+    hidden = numbers.apply_numbers(rows.withColumn("n", F.col("original")), mapping, "n")
+    unique = mapping.groupBy("surrogate").count().where("count = 1").select(F.col("surrogate").alias("n"), F.lit(True).alias("own"))
+    shown = numbers.restore_numbers(hidden.join(unique, "n", "left").withColumn("shown", F.col("n")), mapping, "shown")
+    fresh = ~F.col("n").cast("long").between(13, 9999)
+    replaced = numbers.should_replace(F.col("original"))
+    return shown.select("original", "shown", F.when(replaced, F.coalesce(F.col("own"), F.lit(False)) & fresh).otherwise(F.col("n") == F.col("original")).alias("right"))
+
+
+_EDGES = [(1, "Anna Leek; xAnna Lee."), (2, "xAnna Lee, Anna Lee."), (3, "Anna Lee"), (4, "Anna Lee_1 Anna Lees"), (5, "(Anna Lee)Anna"), (6, None), (7, r"a\Eb x"), (8, "a+b, a+bc"), (9, "№ 7/3"), (10, "№ 7/34")]
+
+
+def residual_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Originals at the edges of words, with characters that patterns know."""
+    originals = spark.createDataFrame([("Anna Lee",), (r"a\Eb",), ("a+b",), ("7/3",), (None,)], "original string")
+    return verify.residual_values(spark.createDataFrame(_EDGES, "unit int, text string"), originals, ["unit"])
+
+
+EDGES_SQL = r"""
+WITH u AS (SELECT * FROM (VALUES (1, 'Anna Leek; xAnna Lee.'), (2, 'xAnna Lee, Anna Lee.'), (3, 'Anna Lee'), (4, 'Anna Lee_1 Anna Lees'), (5, '(Anna Lee)Anna'), (7, 'a\Eb x'), (8, 'a+b, a+bc'), (9, '№ 7/3'), (10, '№ 7/34')) AS t(unit, text)),
+v AS (SELECT unnest(['Anna Lee', 'a\Eb', 'a+b', '7/3']) AS original),
+p AS (SELECT unit, original, ' ' || text || ' ' AS t, unnest(range(1, length(text) + 2)) AS i FROM u, v)
+SELECT DISTINCT unit, original FROM p WHERE substr(t, i + 1, length(original)) = original AND NOT regexp_matches(substr(t, i, 1), '[\p{L}\p{N}_]') AND NOT regexp_matches(substr(t, i + 1 + length(original), 1), '[\p{L}\p{N}_]')
+"""
 
 
 def mail_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -487,9 +552,10 @@ QUERIES = {
     "splice_text": spliced_texts, "restore_roundtrip": round_trip, "restore_lookup": restore_lookup, "resolve_greedy": resolve_greedy, "container_split": container_split, "kind_counts": kind_counts,
     "word_multiset_diff": word_difference, "residual_check": residual_check, "suggest_topk": suggest_topk, "surrogate_filter": surrogate_filter, "surrogate_roundtrip": surrogate_round_trip, "vault_merge_conflicts": vault_merge,
     "format_classify": format_classify, "override_join": override_join, "file_report": file_report, "numbering": global_numbers, "vault_purge": vault_purge, "header_columns": header_columns, "people": people_found, "entities": entities_found, "mail_domains": mail_hosts,
+    "people_labelled": people_labelled, "people_restored": people_restored, "entities_labelled": entities_labelled, "issue_then_purge": issue_then_purge, "surrogate_dense": surrogate_dense, "residual_edges": residual_edges,
 }
-for _n in [r.name for r in RULES if r.name not in ("email_1", "ip_address_1", "card_1")]:
-    QUERIES[f"rule_{_n}"] = _rule(_n)
+for _n in planted.RULES:
+    QUERIES[f"rule_{_n}"] = lambda spark, sf_dir, n=_n: planted.found(_read(spark, sf_dir, "customer"), _NAMED[n])
 
 _LUHN = "list_sum(list_transform(range(1, length(d) + 1), lambda i: CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INT) ELSE (CAST(d[i] AS INT) * 2) // 10 + (CAST(d[i] AS INT) * 2) % 10 END)) % 10 = 0"
 ORACLES = {
@@ -500,3 +566,12 @@ ORACLES = {
     "residual_check": RESIDUAL_SQL, "suggest_topk": TOPK_SQL, "surrogate_filter": FILTER_SQL, "surrogate_roundtrip": BACK_SQL, "vault_merge_conflicts": MERGE_SQL,
     "format_classify": CLASSIFY_SQL, "override_join": OVERRIDE_SQL, "file_report": REPORT_SQL, "numbering": NUMBER_SQL, "vault_purge": PURGE_SQL, "mail_domains": HOST_SQL,
 }
+ORACLES |= {f"rule_{n}": planted.truth(n) for n in planted.RULES}
+ORACLES |= {
+    "people_labelled": planted.PEOPLE_SQL, "people_restored": planted.RESTORED_SQL, "entities_labelled": planted.ENTITIES_SQL, "residual_edges": EDGES_SQL,
+    "issue_then_purge": """
+WITH r AS (SELECT c_name, c_custkey, c_custkey % 20 AS d, row_number() OVER (ORDER BY c_custkey % 20, c_custkey) AS n FROM customer WHERE c_custkey % 20 IN (0, 9, 19))
+SELECT 'Name' || n AS base, c_name AS key, 19 * 86400.0::DOUBLE AS used, 1::BIGINT AS spellings FROM r WHERE d = 19 OR n <= 5""",
+    "surrogate_dense": "SELECT CAST(n AS VARCHAR) AS original, CAST(n AS VARCHAR) AS shown, true AS right FROM range(13, 10000) AS t(n)",
+    "header_columns": "SELECT * FROM (VALUES ('PERSON', 0, 'Иванов Пётр'), ('PERSON', 0, 'Анна'), ('PERSON', 0, 'Борис'), ('PLACE', 1, 'Тверь'), ('PLACE', 1, 'Казань')) AS t(kind, col, item)",
+}
