@@ -160,7 +160,8 @@ def test_fuzzy_lines_are_complete():
         assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
-def test_fuzzy_lines_under_a_key_of_very_many(spark):
+@pytest.mark.parametrize("refine", [False, True])
+def test_fuzzy_lines_under_a_key_of_very_many(spark, refine):
     """More lines than SMALL share one rare pair; some of them are alike, none is like the pivot of all."""
     rng = random.Random(14)
     docs = []
@@ -170,7 +171,7 @@ def test_fuzzy_lines_under_a_key_of_very_many(spark):
         x = list(w)
         x[rng.randrange(8, 20)] = "changed"
         docs += [(2 * i, " ".join(w)), *([(2 * i + 1, " ".join(x))] if i % 3 == 0 else [])]
-    gone = lines.duplicate_lines(spark.createDataFrame(docs, DOC), fuzzy_words=5).collect()
+    gone = lines.duplicate_lines(spark.createDataFrame(docs, DOC), fuzzy_words=5, refine=refine).collect()
     assert sorted(r.doc_id for r in gone) == [2 * i + 1 for i in range(0, 60, 3)]
 
 
