@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .scratch import small_batches
+from .scratch import Scratch, small_batches
 from .words import ALNUM, Words, match_all, mix, spread, steps, summed
 
 #: Bytes of item text in the tables of one pass, which bounds what is broadcast.
@@ -185,7 +185,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     at = names.index(text)
     out, later = docs, False
     kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.string())]
-    for block in [*item_blocks(benchmark, item_id, item_text, block_bytes)] or [[]]:
+    blocks = item_blocks(benchmark, item_id, item_text, block_bytes)
+    block, number, scratch = next(blocks, []), 0, None
+    while True:
+        following = next(blocks, None)
         tables = spark.sparkContext.broadcast(Tables(block, window))
 
         def run(batches, tables=tables, later=later):
@@ -199,7 +202,14 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 yield pa.RecordBatch.from_arrays([*old, *(pa.array(x, k) for x, k in zip((counts, spans, items), kinds, strict=True))], [*names, *ADDED])
 
         out, later = out.mapInArrow(run, schema), True
-    return out
+        if following is None:
+            return out
+        # one block of items at a time is on the driver and the executors: what it found is written before the next is read
+        scratch = scratch or Scratch(spark, "items")
+        out = scratch.table(out, f"pass-{number}")
+        scratch.drop(f"pass-{number - 1}")
+        tables.unpersist()
+        block, number = following, number + 1
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
