@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .compact import deal
 from .scratch import small_batches
 from .tokens import encoder, text_steps
 from .words import spread
@@ -260,7 +261,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: s
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many parts as the session has, and more where the input is larger than they should hold
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), deal(docs, 1.0).n // 4)
     docs = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -309,10 +311,13 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     kind = files.schema["docs"].dataType.elementType
     # A few records at a time: an Arrow batch holds what its payloads decode to.
     small_batches(spark)
-    # One row for each record; there are as many as the files have records, not ids.
+    # Sums of shards first: one row for each shard is ordered as a whole, the records of a shard on their own.
     order = files.select("shard", "record", "n_ids")
-    before = order.withColumn("before", F.sum("n_ids").over(Window.orderBy("shard", "record").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select(F.col("shard").alias("s"), F.col("record").alias("r"), F.coalesce("before", F.lit(0)).alias("before"))
+    shards = order.groupBy("shard").agg(F.sum("n_ids").alias("ids"))
+    shards = shards.select("shard", F.coalesce(F.sum("ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("record").rowsBetween(Window.unboundedPreceding, -1))
+    before = order.withColumn("own", F.coalesce(own, F.lit(0))).join(shards, "shard")
+    before = before.select(F.col("shard").alias("s"), F.col("record").alias("r"), (F.col("base") + F.col("own")).alias("before"))
     files = files.join(before, (F.col("shard") == F.col("s")) & (F.col("record") == F.col("r"))).select("before", "payload", "docs", "sizes")
 
     def run(batches):
