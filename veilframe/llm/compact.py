@@ -22,9 +22,9 @@ _U = np.uint64
 #: unequal codes about one meets another by chance, which costs a comparison and changes no result.
 BITS, SPARE = 48, 10
 #: Bytes of input that one bucket stands for.
-BUCKET = 6 << 20
+BUCKET = 4 << 20
 #: Rows that a task gathers before it sorts and sends them.
-RUN = 1 << 21
+RUN = 1 << 20
 SENT = "bucket int, kind int, payload binary"
 
 
