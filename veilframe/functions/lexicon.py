@@ -34,7 +34,7 @@ ORDINARY = """договор приложение акт счет обществ
 позиция строка офис подразделение оборудование регламент стандарт качество сотрудник уважаемый здравствуйте привет от для при""".split()
 PLACE_BEFORE = "ул улица просп проспект пер переулок наб набережная шоссе пл площадь бульвар бул г город гор пос поселок село деревня станция ст метро проезд имени им".split()
 PLACE_AFTER = "область обл край район округ республика улица проспект переулок шоссе площадь бульвар набережная проезд филиал отдел завод".split()
-NOT_INITIALS = "ИП ЧП АО ОП ГК РФ ТД ПК ТК НП УК СП ЖК БЦ ТЦ СК ЦБ ФЛ ЮЛ ОК ПО ИТ".split()
+NOT_INITIALS = "ИП ЧП АО ОП ГК РФ ТД ПК ТК НП УК СП ЖК БЦ ТЦ СК ЦБ ФЛ ЮЛ".split()
 # End of fixed values.
 
 #: The most words that a table may add: a dictionary of a language fits, a corpus does not.

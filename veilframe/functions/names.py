@@ -61,7 +61,7 @@ def words_of(text: str) -> list[Word]:
         dotted = text[w.end : w.end + 1] == "."
         if len(w.text) == 1 and (w.text.isupper() or dotted):
             w.letters, w.dotted = (w.text.upper(),), dotted
-        elif len(w.text) == 2 and w.text.isupper() and w.text not in NOT_INITIALS:
+        elif len(w.text) == 2 and w.text.isupper():
             w.letters, w.dotted = tuple(w.text), dotted
         if w.letters and dotted:
             w.end += 1
@@ -70,6 +70,10 @@ def words_of(text: str) -> list[Word]:
         # a lone capital without a dot is an initial only beside another one
         if len(w.text) == 1 and w.letters and not w.dotted and not any(0 <= k < len(out) and out[k].letters and _close(text, out[min(i, k)], out[max(i, k)]) for k in (i - 1, i + 1)):
             w.letters = ()
+        # a legal form before a full name is no initials
+        after = out[i + 1 : i + 3]
+        if w.text in NOT_INITIALS and len(after) == 2 and all(x.capital and len(x.text) > 2 for x in after) and _close(text, w, after[0]) and _close(text, *after):
+            w.letters = ()
     return out
 
 
@@ -117,9 +121,11 @@ class Reader:
         return w.capital and not w.letters and len(w.text) >= 2 and not self.lex.is_ordinary(w.text) and not self.lex.is_role(w.text)
 
     def geographic(self, i: int, n: int = 1) -> bool:
-        before = folded(self.words[i - 1].text) if i else ""
-        after = folded(self.words[i + n].text) if i + n < len(self.words) else ""
-        return before in PLACE_BEFORE or (after in PLACE_AFTER or any(after.startswith(x[:5]) for x in PLACE_AFTER if len(x) > 5)) and self.lex.is_adjective(self.words[i + n - 1].text)
+        last = self.words[i + n - 1]
+        before = folded(self.words[i - 1].text) if i and not self.text[self.words[i - 1].end : self.words[i].start].strip(" .") else ""
+        after = folded(self.words[i + n].text) if i + n < len(self.words) and _close(self.text, last, self.words[i + n]) else ""
+        unit = after in PLACE_AFTER or any(after.startswith(x[:5]) for x in PLACE_AFTER if len(x) > 5)
+        return before in PLACE_BEFORE or (unit and self.lex.is_adjective(last.text))
 
     def full(self, i: int) -> tuple | None:
         w = self.run(i)

@@ -103,12 +103,12 @@ def _pick(words, at: str) -> str:
     return "CASE " + " ".join(f"WHEN {at} = {i} THEN '{w}'" for i, w in enumerate(words)) + " END"
 
 
-_K = "(c_custkey - 1)"
+_K = "c_custkey"
 _S, _E = f"(CAST(floor({_K} / {len(ENDS)}) AS INT))", f"({_K} % {len(ENDS)})"
 _PERSON = (
-    f"SELECT c_custkey - 1 AS k, {_pick(STEMS, _S)} || {_pick(ENDS, _E)} AS s, "
+    f"SELECT c_custkey AS k, {_pick(STEMS, _S)} || {_pick(ENDS, _E)} AS s, "
     f"CASE WHEN {_E} = 3 THEN {_pick(GIVEN[1], _K + ' % 8')} ELSE {_pick(GIVEN[0], _K + ' % 8')} END AS g, "
-    f"CASE WHEN {_E} = 3 THEN {_pick(PATRONYMICS[1], _K + ' % 5')} ELSE {_pick(PATRONYMICS[0], _K + ' % 5')} END AS p FROM customer WHERE c_custkey <= {PEOPLE}"
+    f"CASE WHEN {_E} = 3 THEN {_pick(PATRONYMICS[1], _K + ' % 5')} ELSE {_pick(PATRONYMICS[0], _K + ' % 5')} END AS p FROM customer WHERE c_custkey < {PEOPLE}"
 )
 _I, _J = "substr(g, 1, 1)", "substr(p, 1, 1)"
 #: The spellings of a person; the first text (label 0) names them in full.
@@ -151,10 +151,10 @@ def entity_texts(customer: DataFrame) -> DataFrame:
     spark = customer.sparkSession
     labels = spark.range(len(_ENTITY)).select(F.col("id").cast("int").alias("label"))
     text = "CASE label " + " ".join(f"WHEN {n} THEN '{a}' || {v} || '{b}'" for n, (a, v, b) in _ENTITY.items()) + " END"
-    return customer.where(f"c_custkey <= {PEOPLE}").join(F.broadcast(labels)).select((F.col("c_custkey") - 1).alias("k"), "label", F.expr(text).alias("text"))
+    return customer.where(f"c_custkey < {PEOPLE}").join(F.broadcast(labels)).select(F.col("c_custkey").alias("k"), "label", F.expr(text).alias("text"))
 
 
 ENTITIES_SQL = (
-    f"WITH t AS (SELECT c_custkey - 1 AS k, label, CASE WHEN label < 2 THEN 'Company' ELSE 'Domain' END || c_custkey AS x FROM customer, range({len(_ENTITY)}) AS l(label) WHERE c_custkey <= {PEOPLE}) "
+    f"WITH t AS (SELECT c_custkey AS k, label, CASE WHEN label < 2 THEN 'Company' ELSE 'Domain' END || (c_custkey + 1) AS x FROM customer, range({len(_ENTITY)}) AS l(label) WHERE c_custkey < {PEOPLE}) "
     "SELECT k, CAST(label AS INTEGER) AS label, CASE label " + " ".join(f"WHEN {n} THEN '{a}' || x || '{b}'" for n, (a, _, b) in _ENTITY.items()) + " END AS text FROM t"
 )

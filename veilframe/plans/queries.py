@@ -463,7 +463,7 @@ def header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def people_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is named in the documents and in the labelled texts, with all that the texts say about them."""
     units = planted.people_texts(_read(spark, sf_dir, "customer")).select(F.concat_ws("-", "k", "label").alias("unit"), "text").unionByName(_docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("unit"), "text"))
-    named = people.mentions(units, ["unit"])
+    named = settled(people.mentions(units, ["unit"]))
     return people.findings(named, people.learn(named), ["unit"]).select("unit", "start", "end", "category", "decision", F.size("candidates").alias("candidates"))
 
 
@@ -485,7 +485,7 @@ def people_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entities_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Organisations and places that signs tell in the documents, and wherever their names stand again."""
     units = _docs(spark, sf_dir)
-    found = entities.explicit(units, ["doc_id"])
+    found = settled(entities.explicit(units, ["doc_id"]))
     return entities.known(units, entities.register(found), ["doc_id"]).select("doc_id", "start", "end", "category", "key")
 
 
