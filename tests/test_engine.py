@@ -11,6 +11,7 @@ from veilframe.operators.restore import broken_tokens, resolved_tokens, restore_
 from veilframe.operators.rules import FINDING
 from veilframe.operators.splice import spliced
 from veilframe.operators.vault import Vault, issue, lookup, merged, purge
+from veilframe.plans import queries
 from veilframe.plans.engine import Settings, findings_of, pseudonymize, restored
 from veilframe.sources import files, ooxml
 from veilframe.sources.store import VaultStore
@@ -117,6 +118,13 @@ def test_numbers(spark):
     assert (m.surrogate.astype(float) / m.original.astype(float)).between(0.5, 1.9).all()
 
 
+def test_prices_like_years_and_counts_are_hidden(spark, tmp_path):
+    prices = [2000.0, 1950.0, 12.0, 7.0, 0.0, 2000.0, 5.5, None]
+    spark.createDataFrame([*enumerate(prices), (3, 7.0)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = sorted(tuple(r) for r in queries.surrogate_round_trip(spark, str(tmp_path)).na.fill({"number": "-"}).collect())
+    assert rows == [(0, "2000", True), (1, "1950", True), (2, "12", True), (3, "7", True), (3, "7", True), (4, "0", True), (5, "2000", True), (6, "5.5", True), (7, "-", True)]
+
+
 def test_verification(spark):
     after = spark.createDataFrame([(1, "Name1 met Anna Lee, annals"), (2, "firma.ru")], "u int, text string")
     originals = spark.createDataFrame([("Anna Lee",), ("Anna L",), ("firma",)], "original string")

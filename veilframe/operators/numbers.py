@@ -49,6 +49,7 @@ def candidate(canon: Column, key: str, attempt: Column | int, turn: int = 0) ->
     tries = F.lit(attempt) if isinstance(attempt, int) else attempt
     unit = F.pmod(F.xxhash64(F.lit(key), canon, tries), F.lit(1_000_000_000)) / F.lit(1_000_000_000.0)
     value = canon.try_cast("decimal(38,12)")
+    value = F.when(value == 0, F.lit(1).cast("decimal(38,12)")).otherwise(value)
     wide = 4.0 ** max(0, turn - 1)
     product = value * F.round((F.lit(0.55) + unit * F.lit(1.3)) * wide, 6).cast("decimal(20,6)")
     places = F.when(F.contains(canon, F.lit(".")), F.length(F.substring_index(canon, ".", -1))).otherwise(0)
@@ -65,16 +66,18 @@ def candidate(canon: Column, key: str, attempt: Column | int, turn: int = 0) ->
 TURNS, TRIES = 14, 8
 
 
-def surrogates(numbers: DataFrame, known: DataFrame, key: str) -> DataFrame:
+def surrogates(numbers: DataFrame, known: DataFrame, key: str, amounts: bool = False) -> DataFrame:
     """known (original, surrogate) with surrogates for all new ones among numbers (original, canonical).
 
+    Of those only what should_replace() names, unless they are known to be amounts: then every one.
+
     A surrogate differs from its original, from every original and from every other surrogate. In
     each turn a number that has none tries a few; of several that want one the smallest original has it, and
     only what is taken is reserved. The others go on in the next turn, until all have one.
     """
     originals = settled(numbers.select("original").where("original IS NOT NULL").distinct())
     have = known.select("original", "surrogate")
-    fresh = settled(originals.where(should_replace(F.col("original"))).join(have, "original", "left_anti"))
+    fresh = settled(originals.where(F.lit(True) if amounts else should_replace(F.col("original"))).join(have, "original", "left_anti"))
     for turn in range(TURNS):
         if fresh.limit(1).count() == 0:
             return have
