@@ -372,6 +372,13 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_license_tokens_are_counted_in_all_documents(spark):
+    docs = [(0, "this software and its files"), (1, None), (2, "the Software is under the MIT license"), (3, "redistribution of software, software")]
+    count = licenses.token_frequency(spark.createDataFrame(docs, DOC))
+    assert (count["software"], count["files"], count["license"], count["mit"], count["redistribution"]) == (3, 1, 1, 1, 1)
+    assert set(licenses.token_frequency(empty(spark)).values()) == {0}
+
+
 def test_wrapped_notices(spark):
     import textwrap
 

@@ -7,7 +7,7 @@ n - ceil(threshold * n) + 1 tokens (prefix filter), must have ceil(threshold * n
 filter), and the place of the first common token bounds what can still follow (positional filter).
 An index leads from each prefix token to its templates, so a block is compared only with those that
 it shares one with, however many templates there are. Everything runs as DataFrame functions.
-The order counts the documents that hold a word of a licence, the only ones that are looked at.
+The order counts the documents of the whole table.
 
 A template of more than WRAPPED characters does not fit on a usual line, so it is also looked for in
 every line together with the lines after it, up to as many words as the longest such template has.
@@ -80,9 +80,7 @@ def _words(column: Column) -> Column:
 def token_frequency(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> dict[str, int]:
     """In how many documents each template token stands; one row comes to the driver."""
     tokens = sorted({t for _, x in templates for t in tokens_of(x)})
-    # Only a document that holds a word of a licence is worth the other tokens; the order stays one order for all.
-    held = F.col(text).rlike(_anywhere(["license", "licensed", "licenses", "granted", "redistribution", "redistribute"]))
-    tally = docs.where(held).select(F.array_distinct(_words(_lower(F.col(text)))).alias("w"))
+    tally = docs.select(F.array_distinct(_words(_lower(F.col(text)))).alias("w"))
     row = tally.agg(*(F.count_if(F.array_contains("w", t)).alias(f"t{i}") for i, t in enumerate(tokens))).first()
     return dict(zip(tokens, row, strict=True))
 
