@@ -175,6 +175,43 @@ def test_fuzzy_lines_under_a_key_of_very_many(spark, refine):
     assert sorted(r.doc_id for r in gone) == [2 * i + 1 for i in range(0, 60, 3)]
 
 
+def test_lines_at_the_similarity_share_a_key_of_three_words_or_two():
+    """Pairs of any two lengths that may link, with as many edits as are allowed, meet under line_keys."""
+    rng = random.Random(15)
+    counts = np.array([rng.randrange(1, 50) for _ in range(lines._SYMBOLS)])
+    qs = lines.grams_of(0.8)
+    assert qs[0] == 3
+    for n in [*range(3, 31), 60, 61] * 12:
+        a = [rng.randrange(rng.choice([5, 300])) for _ in range(n)]
+        b = list(a)
+        most = lines.most_edits(n, 0.8)
+        gone = rng.randrange(most + 1)
+        for at in sorted(rng.sample(range(n), most), reverse=True):
+            b[at : at + 1] = [] if gone > 0 and len(b) > 3 else [rng.randrange(300)]
+            gone -= 1
+        row, key = lines.line_keys(np.array(a + b), np.array([0, n, n + len(b)]), counts, 0.8, qs)
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
+
+
+def test_near_copies_beside_another_pivot_are_not_all_compared(spark, monkeypatch):
+    """Near copies under a key whose pivot is unlike them: the links by other keys join them, and no pair of theirs is compared again."""
+    rng = random.Random(16)
+    base = [f"u{rng.randrange(50000)}" for _ in range(40)]
+    docs = []
+    for i in range(80):
+        w = list(base)
+        w[rng.randrange(20, 40)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    for i in range(80, 200):
+        w = [f"v{rng.randrange(50000)}" for _ in range(40)]
+        w[:3] = base[:3]
+        docs.append((i, " ".join(w)))
+    compared, linked = [], lines._linked
+    monkeypatch.setattr(lines, "_linked", lambda pairs, *a: (compared.append(pairs.count()), linked(pairs, *a))[1])
+    gone = lines.duplicate_lines(spark.createDataFrame(docs, DOC), fuzzy_words=5).collect()
+    assert sorted(r.doc_id for r in gone) == list(range(1, 80)) and compared[-1] == 0
+
+
 def test_fuzzy_lines_recall_over_all_pairs(spark):
     rng = random.Random(13)
     docs = []
