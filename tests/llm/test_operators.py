@@ -212,6 +212,30 @@ def test_near_copies_beside_another_pivot_are_not_all_compared(spark, monkeypatc
     assert sorted(r.doc_id for r in gone) == list(range(1, 80)) and compared[-1] == 0
 
 
+def test_signatures_bound_the_edits(spark):
+    """An edit changes at most two bits of the one signature and four of the other; lines of few different words are told apart."""
+    rng = random.Random(17)
+    rows, far = [], 0
+    for i in range(60):
+        a = [rng.randrange(20) for _ in range(rng.choice([1, 2, 5, 30, 90]))]
+        b = list(a)
+        for _ in range(i % 5):
+            at, kind = rng.randrange(len(b)), rng.randrange(3)
+            b[at : at + (kind != 1)] = [rng.randrange(20)] * (kind != 2) or [b[at]]
+        rows += [(2 * i, 0, a), (2 * i + 1, 0, b)]
+    coded = [(h, g, b"".join((lines._FIRST + w).to_bytes(2, "big") for w in ws)) for h, g, ws in rows]
+    got = {r.h: r for r in lines.signed(spark.createDataFrame(coded, "h long, h2 long, symbols binary")).collect()}
+    apart = lambda x, y, names: sum(((x[s] ^ y[s]) & (2**64 - 1)).bit_count() for s in names)
+    for i in range(60):
+        x, y = got[2 * i], got[2 * i + 1]
+        edits = passages._edits(np.array(rows[2 * i][2]), np.array(rows[2 * i + 1][2]))
+        assert x.n == len(rows[2 * i][2]) and apart(x, y, lines.SIGNED) <= 2 * edits and apart(x, y, lines.PAIRED) <= 4 * edits
+    for x in got.values():
+        for y in got.values():
+            far += x.n == y.n == 30 and abs(x.h - y.h) > 1 and apart(x, y, lines.SIGNED) <= 12 and apart(x, y, lines.PAIRED) > 24
+    assert far > 0
+
+
 def test_fuzzy_lines_recall_over_all_pairs(spark):
     rng = random.Random(13)
     docs = []
