@@ -373,6 +373,20 @@ def held_within(a, b):
     return int(row.min())
 
 
+def test_paths_are_not_broadcast(spark, monkeypatch):
+    """What asks for words holds numbers only; the passages are the same however the sides are joined."""
+    asked, slices = [], passages._slices
+    monkeypatch.setattr(passages, "_slices", lambda requests, docs: (asked.append(requests.columns), slices(requests, docs))[1])
+    rng = random.Random(18)
+    some = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    shared = some(70)
+    frame = spark.createDataFrame([(1, " ".join(some(20) + shared)), (2, " ".join(shared + some(9))), (3, " ".join(some(90)))], DOC)
+    want = sorted(map(tuple, passages.passages(frame).collect()))
+    monkeypatch.setattr(passages, "MOST_STRETCHES", 0)
+    assert sorted(map(tuple, passages.passages(frame).collect())) == want and [r[:3] for r in want] == [(2, 0, 69)]
+    assert all(c == ["doc", "id", "lows", "highs"] for c in asked)
+
+
 def test_passages_beside_other_words_and_repeated_ids(spark):
     rng = random.Random(32)
     word = lambda: f"v{rng.randrange(90000)}"
