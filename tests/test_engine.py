@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from veilframe.functions import lexicon, names
 from veilframe.operators import entities, numbers, people, verify
 from veilframe.operators.numbering import numbered
 from veilframe.operators.resolve import override, resolved
@@ -46,6 +47,25 @@ def test_same_tokens_again_and_on_other_partitions(spark, units, done):
     assert again.vault.entities.count() == done.vault.entities.count()
 
 
+def test_texts_of_one_row_group_are_read_by_many_tasks(spark, units):
+    one = units.coalesce(1)
+    found = pseudonymize(one, Vault.empty(spark), ["doc_id"])
+    assert one.rdd.getNumPartitions() == 1
+    assert found.units.select("doc_id", F.spark_partition_id().alias("task")).distinct().count() == len(ROWS)
+    assert found.units.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_words_are_judged_once(monkeypatch):
+    asked = []
+    judge = lexicon.Lexicon.shape
+    monkeypatch.setattr(lexicon.Lexicon, "shape", lambda self, word: asked.append(word) or judge(self, word))
+    known = lexicon.Lexicon(surname=frozenset({"тестов"}))
+    text = "der Vertrag kam an und ging Иванову Петру Сергеевичу zu. " * 20
+    assert [m["n_surname"] for m in names.mentions(text, known)] == ["Иванов"] * 20
+    # words in which no reading of a name begins are not judged at all, and the others once
+    assert len(asked) == len(set(asked)) <= 4
+
+
 def test_keep_and_hide(spark, units):
     kept = pseudonymize(units, Vault.empty(spark), ["doc_id"], settings=Settings(keep=("ivan@firma.ru",)))
     assert "ivan@firma.ru" in texts(kept.units)[1]

@@ -22,6 +22,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(units: DataFrame, keys: list[str]) -> DataFrame:
+    """units dealt by their keys over as many tasks as the session has: the texts of one file may lie in one row group, which one task would read alone."""
+    spark = units.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return units.repartition(parts, *keys)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to a table in the shared folder and read again. forget() removes what was written, at the latest at exit."""
     spark = df.sparkSession
