@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.functions import checks, morphology
+from veilframe.functions import checks, morphology, normalize
 from veilframe.functions.matches import matches
 from veilframe.functions.normalize import normalized, raw_span, to_raw, unified_word, with_normalized
 from veilframe.functions.patterns import RULES
@@ -64,6 +64,13 @@ def test_normalisation():
     assert unified_word("Mосква") == "Москва" and unified_word("Wосква") == "Wосква" and unified_word("Nаme") == "Name"
 
 
+def test_clean_texts_are_the_same_in_both_engines(spark):
+    texts = ["", "a b", "a  b", "a\nb", "a\n\nb", "a\tb", "слово–слово", "слово – слово", "cлово", "word слово", "x\u200by", "é è ß", "e\u0301", "«да»", "№ 5"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", normalize.clean_text(F.col("text")).alias("clean")).collect()
+    assert {r.text: normalize.is_clean(r.text) for r in rows} == {r.text: r.clean for r in rows}
+    assert all(normalize.normalized(t)[0] == t for t in texts if normalize.is_clean(t))
+
+
 def test_offsets_lead_back(spark):
     rows = spark.createDataFrame([("plain text",), ("а​б  x y",), (None,), ("",)], "t string")
     out = with_normalized(rows, "t").select("t", "norm", to_raw(F.col("norm"), F.lit(0), F.lit(2)).alias("r")).collect()

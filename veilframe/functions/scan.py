@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .checks import iban_ok, luhn_ok, snils_ok
 from .lexicon import DEFAULT, Lexicon, folded
 from .names import MENTION, Reader
-from .normalize import clean_text, normalized, raw_span
+from .normalize import is_clean, normalized, raw_span
 from .patterns import DEFAULT_PRIORITY, HIDE_PRIORITY, LITERAL_PRIORITY, LONE_DATE, Rule, priority_of
 from .signs import SIGN, SignReader
 from .text import DIGIT_CATEGORIES
@@ -96,14 +96,14 @@ def reader(scanner: Scanner | None, signs: SignReader | None, lexicon: Lexicon |
     """A column expression: READ of a text. What is not asked for is an empty array."""
     context_of_birth = re.compile(birth)
 
-    def run(texts: pd.Series, clean: pd.Series) -> pd.DataFrame:
-        rows = [one(t, c) for t, c in zip(texts, clean, strict=True)]
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = [one(t) for t in texts]
         return pd.DataFrame(rows, columns=["rules", "signs", "names", "birth"])
 
-    def one(raw: str | None, clean: bool) -> tuple:
+    def one(raw: str | None) -> tuple:
         if not raw:
             return [], [], [], False
-        text, runs = (raw, None) if clean else normalized(raw)
+        text, runs = (raw, None) if is_clean(raw) else normalized(raw)
 
         def placed(start: int, end: int) -> dict:
             a, b = raw_span(runs, start, end)
@@ -126,7 +126,7 @@ def reader(scanner: Scanner | None, signs: SignReader | None, lexicon: Lexicon |
             named = [{**m, **placed(m["start"], m["end"])} for m in Reader(masked, lexicon)]
         return rules, told, named, context_of_birth.search(text) is not None
 
-    return lambda text: F.pandas_udf(run, READ)(text, clean_text(text))
+    return lambda text: F.pandas_udf(run, READ)(text)
 
 
 def read(units: DataFrame, keys: list[str], text: str, scanner: Scanner | None, signs: SignReader | None, lexicon: Lexicon | None = DEFAULT, birth: str = "(?!)") -> DataFrame:
