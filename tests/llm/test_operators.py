@@ -454,6 +454,13 @@ def test_license_tokens_are_counted_in_all_documents(spark):
     assert set(licenses.token_frequency(empty(spark)).values()) == {0}
 
 
+def test_license_tokens_are_looked_up_once(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(["MIT license, the MIT License", "the license", None, ""])), DOC)
+    # a look through all words of a text for each token takes as long as the scan itself
+    monkeypatch.setattr(licenses.F, "array_contains", None)
+    assert licenses.token_frequency(docs, "text", (("mit", "the mit license"), ("x", "nowhere"))) == {"the": 2, "mit": 1, "license": 2, "nowhere": 0}
+
+
 def test_wrapped_notices(spark):
     import textwrap
 

@@ -78,11 +78,11 @@ def _words(column: Column) -> Column:
 
 
 def token_frequency(docs: DataFrame, text: str = "text", templates=TEMPLATES) -> dict[str, int]:
-    """In how many documents each template token stands; one row comes to the driver."""
+    """In how many documents each template token stands; one row of each that does comes to the driver."""
     tokens = sorted({t for _, x in templates for t in tokens_of(x)})
-    tally = docs.select(F.array_distinct(_words(_lower(F.col(text)))).alias("w"))
-    row = tally.agg(*(F.count_if(F.array_contains("w", t)).alias(f"t{i}") for i, t in enumerate(tokens))).first()
-    return dict(zip(tokens, row, strict=True))
+    # the words of a text are looked up once in the set of tokens, not once for each token
+    held = docs.select(F.explode(F.array_intersect(_words(_lower(F.col(text))), F.array(*map(F.lit, tokens)))).alias("t"))
+    return dict.fromkeys(tokens, 0) | {r["t"]: r["count"] for r in held.groupBy("t").count().collect()}
 
 
 def scan(docs: DataFrame, text: str = "text", threshold: Fraction = Fraction(4, 5), templates=TEMPLATES, frequency: dict[str, int] | None = None) -> DataFrame:
