@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -212,6 +213,18 @@ def test_near_copies_beside_another_pivot_are_not_all_compared(spark, monkeypatc
     assert sorted(r.doc_id for r in gone) == list(range(1, 80)) and compared[-1] == 0
 
 
+def test_lines_just_below_the_similarity_do_not_leave_the_join_as_pairs(spark, monkeypatch):
+    """Lines of the same blocks of five words in another order share tens of keys and both signatures, but are two edits from linking."""
+    base = [f"u{i}" for i in range(40)]
+    blocks = [base[15 + 5 * b : 20 + 5 * b] for b in range(5)]
+    docs = [(i, " ".join(base[:15] + [w for b in order for w in b])) for i, order in enumerate(itertools.permutations(blocks))]
+    docs.append((500, docs[60][1].replace("u3 ", "x ")))
+    compared, linked = [], lines._linked
+    monkeypatch.setattr(lines, "_linked", lambda pairs, *a: (compared.append(pairs.count()), linked(pairs, *a))[1])
+    gone = lines.duplicate_lines(spark.createDataFrame(docs, DOC), fuzzy_words=5).collect()
+    assert [r.doc_id for r in gone] == [500] and compared[-1] <= 1
+
+
 def test_signatures_bound_the_edits(spark):
     """An edit changes at most two bits of the one signature and four of the other; lines of few different words are told apart."""
     rng = random.Random(17)
